@@ -60,6 +60,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches, rows: int = 512):
+    """Record batches of a bounded number of rows, so that few texts are unpacked at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """bytes.split() cuts at exactly the ASCII white space of WORD."""
     return text.split()
@@ -79,7 +86,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash, remembered up to a bound and then forgotten as a whole."""
 
-    LIMIT = 2_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

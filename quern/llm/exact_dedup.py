@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import slices, stored, texts_of
 
 #: Bytes that the first round reads beside the length.
 HEAD = 24
@@ -31,7 +31,7 @@ def _reader(with_digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in batches:
+        for b in slices(batches):
             names = b.schema.names
             norm = [x.lower() for x in texts_of(b)]  # bytes: A-Z only
             cols = {"n_bytes": pa.array([len(x) for x in norm], pa.int64()), "head": pa.array([x[:HEAD] for x in norm], pa.binary())}

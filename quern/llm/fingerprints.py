@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, partitions, stored, texts_of, words_of
+from .common import WordHashes, mix64, partitions, slices, stored, texts_of, words_of
 
 BITS = 128
 SHINGLE = 5
@@ -77,7 +77,7 @@ def _dealer(bounds: np.ndarray, tops: dict[int, int | None], parts: int, with_te
 
         z = zstandard.ZstdCompressor(level=3)
         above = {below: p for p, below in tops.items()}
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(b.schema.names.index("doc_id")).to_pylist()
             part = [0 if d is None else int(np.searchsorted(bounds, d, "left")) for d in ids]
             if not with_text:
@@ -112,7 +112,7 @@ def _in_order(bits: int):
         def rows():
             """(part, doc_id, is a ghost, text), equal ids by descending text."""
             held: list = []
-            for b in batches:
+            for b in slices(batches):
                 for r in b.to_pylist():
                     key = (r["part"], r["ghost"], r["doc_id"])
                     if held and held[-1][0] != key:
@@ -176,7 +176,7 @@ def _tables(bits: int, radius: int, blocks: int):
     size = bits // blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = b.to_pylist()
             out = []
             for r in rows:

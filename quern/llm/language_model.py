@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of, words_of
+from .common import slices, stored, texts_of, words_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the head; those of them that have vectors; words of a class among these; classes of the rest.
@@ -56,7 +56,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = items[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.int64())], ["word", "c"])
 
-    for b in batches:
+    for b in slices(batches):
         for text in texts_of(b):
             counts.update(words_of(text.lower()))
             counts[END] += 1
@@ -279,7 +279,7 @@ def _trainer(corpus: Corpus):
         import pickle
 
         docs, total = [], 0
-        for b in batches:
+        for b in slices(batches):
             for text in texts_of(b):
                 if total < TOKENS:
                     docs.append(corpus.ids(words_of(text.lower()))[: TOKENS - total])
@@ -300,9 +300,8 @@ def _scorer(corpus: Corpus, net: Network):
         from collections import Counter
 
         n, known = len(corpus.words), np.append(corpus.counts > 0, False)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
+        for b in slices(batches, 2048):
+            if b.num_rows:
                 ids, tails = [], []
                 for text in texts_of(b):
                     words = words_of(text.lower())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, texts_of
+from .common import partitions, slices, texts_of
 
 LENGTH = 4096
 END = 2
@@ -74,7 +74,7 @@ def _tokenized(path: str, shards: int, length: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
-        for b in batches:
+        for b in slices(batches):
             names = b.schema.names
             out = []
             for d, place, text in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("place")).to_pylist(), texts_of(b), strict=True):
@@ -174,7 +174,7 @@ def _packed(length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shards():
             now, held = None, []
-            for b in batches:
+            for b in slices(batches):
                 for r in b.to_pylist():
                     if r["shard"] != now and held:
                         yield now, held

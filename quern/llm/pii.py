@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "other")
 #: Documents that the node weights are fitted on at most.
@@ -196,7 +198,7 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x, y = [], []
         for t in b.column(b.schema.names.index("text")).to_pylist():
             t = t or ""
@@ -228,7 +230,7 @@ def _found(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, t in zip(b.column(b.schema.names.index("doc_id")).to_pylist(), b.column(b.schema.names.index("text")).to_pylist(), strict=True):
                 t = t or ""

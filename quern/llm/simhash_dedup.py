@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, stored, texts_of, words_of
+from .common import mix64, partitions, slices, stored, texts_of, words_of
 from .components import components
 
 SHINGLE = 3
@@ -62,7 +62,7 @@ def fingerprint_array(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         names, texts = b.schema.names, texts_of(b)
         yield pa.RecordBatch.from_arrays([b.column(names.index("doc_id")), b.column(names.index("version")), pa.array(fingerprint_array(texts).view(np.int64))], ["doc_id", "version", "fp"])
 

@@ -1,11 +1,11 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
-Each map task turns its documents into rolling window hashes (80 bits), and
-sends them packed, dealt by hash, to the task that counts that hash. A window
-that already repeats within one chunk of a map task is sent once, without a
-place, so that no hash gathers more entries than there are chunks. Places of
-repeated windows return to their document, where overlapping windows merge into
-maximal removal intervals.
+Each map task turns chunks of documents into rolling window hashes (80 bits),
+and sends them packed, dealt by hash, to the task that counts that hash. A
+window that already repeats within its chunk is sent once, without a place, so
+that no hash gathers more entries than there are chunks. Places of repeated
+windows return to their chunk and from there to their document, where
+overlapping windows merge into maximal removal intervals.
 
 Defined results: a null text has no words; a document shorter than the window
 loses nothing; repeated rows (same doc_id and text) count as two places, so each
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, partitions, runs, texts_of, words_of
+from .common import WordHashes, mix64, partitions, runs, slices, texts_of, words_of
 
 WINDOW = 35
 #: Windows that a map task hashes at a time; bounds its memory.
@@ -30,8 +30,9 @@ CHUNK = 1 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
-_ENTRY = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary()), ("at", pa.binary())])
-_PLACE = "doc_id long, version long, places binary"
+_ENTRY = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary()), ("places", pa.binary())])
+_REPLY = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("places", pa.binary())])
+_PLACE = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("places", pa.binary())])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -85,29 +86,40 @@ def _either(same: np.ndarray) -> np.ndarray:
     return out
 
 
-def _places(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-    """(doc_id or None, version, places) of each document; ids: rows of (doc_id, null flag, version)."""
-    if not len(doc):
-        return
-    order = np.argsort(doc, kind="stable")
-    doc, at = doc[order], at[order].astype("<i4")
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for k, part in zip(doc[np.concatenate([[0], cuts])], np.split(at, cuts), strict=True):
-        d, null, v = ids[k]
-        yield (None if null else int(d), int(v), part.tobytes())
+def _gaps(places: np.ndarray) -> bytes:
+    """Ascending places as gaps of one or two bytes, longer ones after them."""
+    gaps = np.diff(places, prepend=0)
+    kind, most = ("<u1", 255) if len(gaps) and gaps.mean() < 60 else ("<u2", 65535)
+    return b"12"[most > 255 :][:1] + len(gaps).to_bytes(4, "little") + np.minimum(gaps, most).astype(kind).tobytes() + gaps[gaps >= most].astype("<u4").tobytes()
+
+
+def _ungapped(raw: bytes) -> np.ndarray:
+    kind, most = ("<u1", 255) if raw[:1] == b"1" else ("<u2", 65535)
+    n = int.from_bytes(raw[1:5], "little")
+    gaps = np.frombuffer(raw, kind, n, 5).astype(np.int64)
+    gaps[gaps == most] = np.frombuffer(raw, "<u4", -1, 5 + n * np.dtype(kind).itemsize)
+    return np.cumsum(gaps)
+
+
+def _batches(rows: list[tuple], schema: pa.Schema, step: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), step):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + step], strict=True), schema, strict=True)], schema=schema)
 
 
 def _mapper(window: int, parts: int):
+    """Rows of two kinds: of each chunk, its documents and the places known to repeat; and for each part, hashes with their places in the chunk (none if known)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, roll = WordHashes(), _Rolling(window)
+        import xxhash
+        import zstandard
+
+        hashes, roll, z = WordHashes(), _Rolling(window), zstandard.ZstdCompressor(level=3)
         held: list = []
 
         def flush():
-            ids = np.array([x[:3] for x in held], np.int64).reshape(-1, 3)
-            n = np.array([len(x[3]) for x in held], np.int64)
+            docs = np.array([(*x[:3], len(x[3])) for x in held], np.int64).tobytes()
+            chunk = int(np.uint64(xxhash.xxh64_intdigest(docs)).view(np.int64))  # the same if the task runs again
             hi, lo = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), n)
-            at = (np.arange(len(hi)) - np.repeat(runs(n)[:-1], n)).astype(np.int32)
             held.clear()
             order, same = _repeats(hi, lo)
             known = np.zeros(len(hi), bool)
@@ -115,35 +127,27 @@ def _mapper(window: int, parts: int):
             first = np.zeros(len(hi), bool)  # one of each hash that repeats here
             first[order[~np.concatenate([[False], same])]] = True
             first &= known
-            out = [(int(d or 0) ^ v, d, v, p) for d, v, p in _places(ids, doc[known], at[known])]
-            rows = [((k & 0x7FFFFFFF) % parts, np.array([d or 0, d is None, v], np.int64).tobytes(), None, None, p) for k, d, v, p in out]
+            yield from _batches([(chunk % parts, chunk, z.compress(docs), None, None, z.compress(_gaps(np.flatnonzero(known))))], _ENTRY, 1)
             part = ((hi >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)  # a range of hashes each
-            send = first | ~known
             for plain in (True, False):
-                pick = np.flatnonzero(send & (known != plain))
+                pick = np.flatnonzero(~known if plain else first)
                 pick = pick[np.argsort(part[pick], kind="stable")]
                 cuts = np.searchsorted(part[pick], np.arange(parts + 1))
+                rows = []
                 for k in range(parts):
                     own = pick[cuts[k] : cuts[k + 1]]
-                    if not len(own):
-                        continue
-                    if plain:
-                        docs, index = np.unique(doc[own], return_inverse=True)
-                        places = np.concatenate([np.diff(index, prepend=0).astype("<u2").view(np.uint8), at[own].astype("<i4").view(np.uint8).reshape(-1, 4).T.ravel()])
-                        rows.append((k, ids[docs].tobytes(), hi[own].tobytes(), lo[own].tobytes(), places.tobytes()))
-                    else:
-                        rows.append((k, None, hi[own].tobytes(), lo[own].tobytes(), None))
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256], strict=True), _ENTRY, strict=True)], schema=_ENTRY)
+                    if len(own):
+                        rows.append((k, chunk, None, hi[own].tobytes(), lo[own].tobytes(), _gaps(own) if plain else None))
+                yield from _batches(rows, _ENTRY, 64)
 
         total = 0
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.schema.names
             for d, v, text in zip(batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("version")).to_pylist(), texts_of(batch), strict=True):
                 hi, lo = roll(hashes.array(words_of(text)))
                 if not len(hi):
                     continue
-                if total + len(hi) > CHUNK and held or len(held) >= 60_000:
+                if total + len(hi) > CHUNK and held:
                     yield from flush()
                     total = 0
                 held.append((d or 0, d is None, v, hi, lo))
@@ -155,47 +159,71 @@ def _mapper(window: int, parts: int):
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of hashes: the places of those met more than once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("places", pa.binary())])
-    ids, docs, his, los, ats, known, seen = [], [], [], [], [], [], 0
-    ready: list = []
+    """Of one range of hashes: the places of those met more than once, by chunk. Rows about a chunk's documents pass."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    chunks, sizes, his, los, ats = [], [], [], [], []
     for batch in batches:
-        for r in batch.select(["ids", "hi", "lo", "at"]).to_pylist():
+        for r in batch.select(["chunk", "docs", "hi", "lo", "places"]).to_pylist():
             if r["hi"] is None:
-                d, null, v = np.frombuffer(r["ids"], np.int64)
-                ready.append((None if null else int(d), int(v), r["at"]))
+                yield from _batches([(r["chunk"], r["docs"], r["places"])], _REPLY, 1)
                 continue
-            hi, lo = np.frombuffer(r["hi"], np.uint64), np.frombuffer(r["lo"], np.uint16)
-            his.append(hi)
-            los.append(lo)
-            known.append(np.full(len(hi), r["ids"] is None))
-            if r["ids"] is None:
-                docs.append(np.full(len(hi), -1, np.int32))
-                ats.append(np.full(len(hi), -1, np.int32))
-            else:
-                own, raw = np.frombuffer(r["ids"], np.int64).reshape(-1, 3), np.frombuffer(r["at"], np.uint8)
-                docs.append((np.cumsum(raw[: 2 * len(hi)].view("<u2"), dtype=np.int64) + seen).astype(np.int32))
-                ats.append(np.ascontiguousarray(raw[2 * len(hi) :].reshape(4, -1).T).view("<i4").ravel())
-                ids.append(own)
-                seen += len(own)
-    if his:
-        hi, lo, doc, at, local = map(np.concatenate, (his, los, docs, ats, known))
-        del his, los, docs, ats, known
-        order, same = _repeats(hi, lo)
-        hit = np.zeros(len(hi), bool)
-        hit[order] = _either(same)
-        hit &= ~local
-        if ids:
-            ready += _places(np.concatenate(ids), doc[hit], at[hit])
-    for i in range(0, len(ready), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready[i : i + 20_000], strict=True), schema, strict=True)], schema=schema)
+            his.append(np.frombuffer(r["hi"], np.uint64))
+            los.append(np.frombuffer(r["lo"], np.uint16))
+            ats.append(np.full(len(his[-1]), -1, np.int32) if r["places"] is None else _ungapped(r["places"]).astype(np.int32))
+            chunks.append(r["chunk"])
+            sizes.append(len(his[-1]))
+    if not his:
+        return
+    hi, lo, at = np.concatenate(his), np.concatenate(los), np.concatenate(ats)
+    del his, los, ats
+    order, same = _repeats(hi, lo)
+    hit = np.zeros(len(hi), bool)
+    hit[order] = _either(same)
+    hit &= at >= 0
+    starts = runs(np.array(sizes))
+    for k, chunk in enumerate(chunks):
+        own = slice(starts[k], starts[k + 1])
+        found = at[own][hit[own]]
+        if len(found):
+            yield from _batches([(chunk, None, z.compress(_gaps(found)))], _REPLY, 1)
+
+
+def _collector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk to the places of each document that has any."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+
+    def finish(docs, places):
+        if docs is None or not places:
+            return
+        docs = np.frombuffer(docs, np.int64).reshape(-1, 4)
+        at = np.unique(np.concatenate(places))
+        starts = runs(docs[:, 3])
+        cuts = np.searchsorted(at, starts)
+        rows = [(None if docs[k, 1] else int(docs[k, 0]), int(docs[k, 2]), (at[cuts[k] : cuts[k + 1]] - starts[k]).astype("<i4").tobytes()) for k in np.flatnonzero(np.diff(cuts))]
+        yield from _batches(rows, _PLACE, 1000)
+
+    now, docs, places = None, None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["chunk"] != now:
+                yield from finish(docs, places)
+                now, docs, places = r["chunk"], None, []
+            docs = z.decompress(r["docs"]) if r["docs"] is not None else docs
+            found = _ungapped(z.decompress(r["places"]))
+            if len(found):
+                places.append(found)
+    yield from finish(docs, places)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     z = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in slices(batches):
         names = batch.schema.names
         yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), batch.column(names.index("version")), pa.array([z.compress(t) for t in texts_of(batch)], pa.binary())], ["doc_id", "version", "packed"])
 
@@ -208,7 +236,7 @@ def _finisher(window: int):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
                 words = words_of(z.decompress(r["packed"]))
@@ -236,9 +264,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_words, n_removed, kept_sha256, kept_text, removed: word intervals, end exclusive)."""
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-    entries = rows.mapInArrow(_mapper(window, parts), "part int, ids binary, hi binary, lo binary, at binary")
-    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_counter, _PLACE)
-    found = found.groupBy("doc_id", "version").agg(F.collect_list("places").alias("places")).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "places")
+    entries = rows.mapInArrow(_mapper(window, parts), "part int, chunk long, docs binary, hi binary, lo binary, places binary")
+    replies = entries.repartitionById(parts, F.col("part")).mapInArrow(_counter, "chunk long, docs binary, places binary")
+    replies = replies.repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int")).sortWithinPartitions("chunk")
+    found = replies.mapInArrow(_collector, "doc_id long, version long, places binary")
+    found = found.groupBy("doc_id", "version").agg(F.collect_set("places").alias("places")).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "places")  # one each, but for repeated rows
     packed = rows.mapInArrow(_packed, "doc_id long, version long, packed binary")
     joined = packed.join(found, packed.doc_id.eqNullSafe(found.d) & (packed.version == found.v), "left")
     return joined.select("doc_id", "packed", "places").mapInArrow(_finisher(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:long,end:long>>")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, stored, texts_of
+from .common import WordHashes, mix64, slices, stored, texts_of
 
 #: Labelled rows that the model is fitted on at most.
 FIT_ROWS = 20_000
@@ -142,7 +142,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
 
     counts, features = (Counter(), Counter()), {}
-    for b in batches:
+    for b in slices(batches):
         for toxic, text in zip(b.column(b.schema.names.index("toxic")).to_pylist(), texts_of(b), strict=True):
             for token in set(tokens_of(text)):
                 counts[int(toxic)][token] += 1
@@ -159,7 +159,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for b in batches:
+    for b in slices(batches):
         least = []
         for text in texts_of(b):
             w = hashes.array(tokens_of(text))
@@ -176,7 +176,7 @@ def _gathered(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _Scores(model)
-        for b in batches:
+        for b in slices(batches):
             toxic = b.column(b.schema.names.index("toxic")).to_pylist()
             out = [(t, n, max((x[2] for x in s), default=0.0), [x[2] for x in s]) for t, (s, n) in zip(toxic, (_scored(score_of, x) for x in texts_of(b)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.list_(pa.float64()))], ["toxic", "n", "top", "segments"])
@@ -257,7 +257,7 @@ def _judged(model: Model, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _Scores(model)
-        for b in batches:
+        for b in slices(batches):
             names = b.schema.names
             rows = []
             for d, h, text in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("held_out")).to_pylist(), texts_of(b), strict=True):
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def _clean(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of = _Scores(model)
-        for b in batches:
+        for b in slices(batches):
             ok = [not model.scores or model.probability(model.statistic(*_scored(score_of, t))) < threshold for t in texts_of(b)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
