@@ -50,7 +50,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to one row per row: doc_id, version (xxhash64 of its text), keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
     heads = rows.select("text").mapInArrow(_reader(False), _KEYS).groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("group_size"))
-    heads = heads.filter("group_size > 1")
+    heads = stored(heads.filter("group_size > 1"))  # as a table, so that the join below can split a hot group's rows
     full = rows.mapInArrow(_reader(True), _KEYS + ", doc_id long, version long, text_sha256 string, rest binary")
     first = full.join(heads, ["n_bytes", "head"], "left")
     shared = F.col("group_size").isNotNull()
@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("digits", F.expr(f"substring(rest, 1, {step})"))
         rows = rows.withColumn("rest", F.expr(f"substring(rest, {step + 1})"))
         keys = [*node, "digits"]
-        groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min("rid").alias("next"), F.max(F.struct("doc_id", "rid")).alias("best"))
+        groups = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min("rid").alias("next"), F.max(F.struct("doc_id", "rid")).alias("best")))
         split = rows.select("rid", "doc_id", "version", "text_sha256", "rest", *keys).join(groups, keys)
         ended = (F.col("group_size") == 1) | (F.length("rest") == 0)
         split = stored(split.select("rid", "doc_id", "version", "text_sha256", F.col("next").alias("node"), "group_size", "best", (~ended).alias("open"), F.when(~ended, F.col("rest")).alias("rest")))
