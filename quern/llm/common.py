@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -83,6 +85,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def kept(name: str, make):
+    """What make() gave under this name in this Python worker: it outlives a task."""
+    store = sys.modules.setdefault("_quern_kept", types.ModuleType("_quern_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered up to a bound and then forgotten as a whole."""
 

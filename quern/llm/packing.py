@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, texts_of
+from .common import kept, partitions, slices, texts_of
 
 LENGTH = 4096
 END = 2
@@ -45,22 +45,40 @@ def tokenizer_path() -> str:
 
 
 class Encoder(dict):
-    """Ids of white-space-free chunks, remembered up to a bound: this tokenizer drops white space before it merges, so chunks are encoded alone."""
+    """Ids of white-space-free chunks: this tokenizer drops white space before it merges, so chunks are encoded alone, and so are a lower-cased word and the ASCII punctuation after it.
 
-    LIMIT = 1_000_000
+    Chunks are remembered in two generations of a bounded size; a full one becomes the old one.
+    """
+
+    LIMIT = 600_000
+    #: What may be cut off a chunk: after a letter it is a piece of its own.
+    TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, chunk: bytes) -> bytes:
+        out = self.old.get(chunk)
+        if out is None:
+            word = chunk.rstrip(self.TAIL)
+            if b"<|" in chunk or word[-1:].lower() not in b"abcdefghijklmnopqrstuvwxyz" or not word:  # may hold a special token, or not end in a letter
+                out = self._encoded(chunk)
+            elif word == chunk:
+                low = chunk.lower()
+                out = self._encoded(chunk) if low == chunk else self[low]
+            else:
+                out = self[word] + self[chunk[len(word) :]]
         if len(self) >= self.LIMIT:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = self[chunk] = np.array(ids, "<u2").tobytes()
+        self[chunk] = out
         return out
 
+    def _encoded(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+
     def ids(self, text: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2")
 
@@ -73,7 +91,7 @@ def _tokenized(path: str, shards: int, length: int, end: int):
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = kept(f"encoder of {path}", lambda: Encoder(path))
         for b in slices(batches):
             names = b.schema.names
             out = []
