@@ -47,17 +47,17 @@ def tokenizer_path() -> str:
 class Encoder(dict):
     """Ids of white-space-free chunks: this tokenizer drops white space before it merges, so chunks are encoded alone, and so are a lower-cased word and the ASCII punctuation after it.
 
-    Chunks are remembered in two generations of a bounded size; a full one becomes the old one.
+    Chunks, and the words in them, are remembered in two generations of a bounded size; a full one becomes the old one.
     """
 
-    LIMIT = 600_000
+    CHUNKS, WORDS = 300_000, 600_000
     #: What may be cut off a chunk: after a letter it is a piece of its own.
     TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old, self.words, self.old_words = Tokenizer.from_file(path), {}, {}, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.old.get(chunk)
@@ -66,16 +66,23 @@ class Encoder(dict):
             if b"<|" in chunk or word[-1:].lower() not in b"abcdefghijklmnopqrstuvwxyz" or not word:  # may hold a special token, or not end in a letter
                 out = self._encoded(chunk)
             elif word == chunk:
-                low = chunk.lower()
-                out = self._encoded(chunk) if low == chunk else self[low]
+                out = self._word(chunk.lower())
             else:
-                out = self[word] + self[chunk[len(word) :]]
-        if len(self) >= self.LIMIT:
+                out = self._word(word.lower()) + self[chunk[len(word) :]]
+        if len(self) >= self.CHUNKS:
             self.old = dict(self)
             self.clear()
         self[chunk] = out
         return out
 
+    def _word(self, word: bytes) -> bytes:
+        out = self.words.get(word)
+        if out is None:
+            if len(self.words) >= self.WORDS:
+                self.words, self.old_words = {}, self.words
+            out = self.words[word] = self.old_words.get(word) or self._encoded(word)
+        return out
+
     def _encoded(self, chunk: bytes) -> bytes:
         return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
 
