@@ -15,7 +15,9 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,49 +46,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII punctuation that ends a chunk after a letter or digit: the tokenizer cuts there too.
+_ENDING = re.compile(rb"(?<=[a-z0-9])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)(?=[\x20\x09-\x0D]|$)")
+
+
 class Encoder(dict):
-    """Ids of white-space-free chunks: this tokenizer drops white space before it merges, so chunks are encoded alone, and so are a lower-cased word and the ASCII punctuation after it.
+    """Ids of white-space-free chunks, lower-cased and without ending punctuation: this tokenizer drops white space and case before it merges, so chunks are encoded alone.
 
-    Chunks, and the words in them, are remembered in two generations of a bounded size; a full one becomes the old one.
+    Chunks are remembered in two generations of a bounded size; a full one becomes the old one.
     """
 
-    CHUNKS, WORDS = 300_000, 600_000
-    #: What may be cut off a chunk: after a letter it is a piece of its own.
-    TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.old, self.words, self.old_words = Tokenizer.from_file(path), {}, {}, {}
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.old.get(chunk)
         if out is None:
-            word = chunk.rstrip(self.TAIL)
-            if b"<|" in chunk or word[-1:].lower() not in b"abcdefghijklmnopqrstuvwxyz" or not word:  # may hold a special token, or not end in a letter
-                out = self._encoded(chunk)
-            elif word == chunk:
-                out = self._word(chunk.lower())
-            else:
-                out = self._word(word.lower()) + self[chunk[len(word) :]]
-        if len(self) >= self.CHUNKS:
+            out = array("H", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if len(self) >= self.LIMIT:
             self.old = dict(self)
             self.clear()
         self[chunk] = out
         return out
 
-    def _word(self, word: bytes) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            if len(self.words) >= self.WORDS:
-                self.words, self.old_words = {}, self.words
-            out = self.words[word] = self.old_words.get(word) or self._encoded(word)
-        return out
-
-    def _encoded(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
-
     def ids(self, text: bytes) -> np.ndarray:
+        if b"<|" not in text:  # else it may hold a special token, which is told by case
+            text = _ENDING.sub(rb" \1", text.lower())
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2")
 
 
@@ -99,7 +88,7 @@ def _tokenized(path: str, shards: int, length: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(f"encoder of {path}", lambda: Encoder(path))
-        for b in slices(batches):
+        for b in slices(batches, 256):
             names = b.schema.names
             out = []
             for d, place, text in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("place")).to_pylist(), texts_of(b), strict=True):

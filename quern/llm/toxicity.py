@@ -62,7 +62,7 @@ def stems_of(token: bytes) -> list[bytes]:
 class _Scores(dict):
     """Token to score, filled as tokens come, forgotten as a whole at a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __init__(self, model: Model) -> None:
         self.model = model
