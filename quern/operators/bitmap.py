@@ -51,7 +51,7 @@ def contains(df: DataFrame, column: str, key_set: DataFrame) -> DataFrame:
     bit = F.bitmap_bit_position(x)
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     joined = df.withColumn("bucket__", F.bitmap_bucket_number(x)).join(key_set.select(F.col("bucket").alias("bucket__"), "bitmap"), "bucket__")
-    return joined.filter(F.expr("1").cast("int") == _bit(byte, bit)).select(*df.columns)
+    return joined.filter(_bit(byte, bit) == 1).select(*df.columns)
 
 
 def _bit(byte: Column, bit: Column) -> Column:
