@@ -55,14 +55,15 @@ def audit(original: DataFrame, copy: DataFrame) -> DataFrame:
     both = stored(mine.join(other, mine.page_id.eqNullSafe(other.p) & (mine["copy"] == other.n), "full"))
     leaves = both.filter("sha is not null").select("page_id", "copy", "file", "offset", "length", F.col("sha").alias("a"), F.coalesce("copy_sha", F.lit("missing")).alias("b"), F.floor(F.col("offset") / RANGE).alias("range"))
     ranges = stored(_joined(leaves, ["file", "range"], "offset"))
-    levels = [stored(_joined(ranges, ["file"], "range").select(F.col("file").alias("node"), "a", "b"))]
+    low = ranges.agg(F.min("file")).first()[0] or 0  # nodes count from 0, so that groups of them end in one root
+    levels = [stored(_joined(ranges, ["file"], "range").select((F.col("file") - low).alias("node"), "a", "b"))]
     while levels[-1].limit(2).count() > 1:
         below = levels[-1].select(F.floor(F.col("node") / FANOUT).cast("long").alias("up"), F.col("node"), "a", "b")
         levels.append(stored(_joined(below, ["up"], "node").select(F.col("up").alias("node"), "a", "b")))
     bad = levels[-1].filter("a <> b").select("node")
     for level in levels[-2::-1]:
         bad = level.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(bad.select(F.col("node").alias("up")), "up", "left_semi").filter("a <> b").select("node")
-    bad_ranges = ranges.join(bad.select(F.col("node").alias("file")), "file", "left_semi").filter("a <> b").select("file", "range")
+    bad_ranges = ranges.join(bad.select((F.col("node") + low).alias("file")), "file", "left_semi").filter("a <> b").select("file", "range")
     found = leaves.join(bad_ranges, ["file", "range"], "left_semi").filter("a <> b")
     found = found.select("page_id", "file", "offset", "length", F.when(F.col("b") == "missing", "missing").otherwise("corrupt").alias("damage"), F.col("a").alias("original_sha256"), F.when(F.col("b") != "missing", F.col("b")).alias("copy_sha256"))
     extra = both.filter("sha is null").select(F.col("p").alias("page_id"), F.lit(None).cast("long").alias("file"), F.lit(None).cast("long").alias("offset"), F.col("copy_length").alias("length"), F.lit("extra").alias("damage"), F.lit(None).cast("string").alias("original_sha256"), F.col("copy_sha").alias("copy_sha256"))
@@ -72,7 +73,8 @@ def audit(original: DataFrame, copy: DataFrame) -> DataFrame:
 def roots(pages: DataFrame) -> tuple[str, str] | None:
     """Both replicas' roots of an undamaged audit of pages against itself, or None for an empty table."""
     mine = manifest(digests(pages)).select("file", "offset", F.col("sha").alias("a"), F.col("sha").alias("b"), F.floor(F.col("offset") / RANGE).alias("range"))
-    level = _joined(_joined(mine, ["file", "range"], "offset"), ["file"], "range").select(F.col("file").alias("node"), "a", "b")
+    low = mine.agg(F.min("file")).first()[0] or 0
+    level = _joined(_joined(mine, ["file", "range"], "offset"), ["file"], "range").select((F.col("file") - low).alias("node"), "a", "b")
     while level.limit(2).count() > 1:
         level = stored(_joined(level.select(F.floor(F.col("node") / FANOUT).cast("long").alias("up"), "node", "a", "b"), ["up"], "node").select(F.col("up").alias("node"), "a", "b"))
     top = level.first()
