@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     heads = rows.select("text").mapInArrow(_reader(False), _KEYS).groupBy("n_bytes", "head").agg(F.count(F.lit(1)).alias("group_size"))
     heads = stored(heads.filter("group_size > 1"))  # as a table, so that the join below can split a hot group's rows
     full = rows.mapInArrow(_reader(True), _KEYS + ", doc_id long, version long, text_sha256 string, rest binary")
-    first = full.join(heads, ["n_bytes", "head"], "left")
+    first = full.join(heads.hint("merge"), ["n_bytes", "head"], "left")  # the plan of large tables at every size
     shared = F.col("group_size").isNotNull()
     first = stored(first.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "version", "text_sha256", shared.alias("open"), *[F.when(shared, F.col(c)).alias(c) for c in ("n_bytes", "head", "rest")]))
     parts = [first.filter("not open").select("doc_id", "version", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")]
@@ -63,7 +63,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("rest", F.expr(f"substring(rest, {step + 1})"))
         keys = [*node, "digits"]
         groups = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.min("rid").alias("next"), F.max(F.struct("doc_id", "rid")).alias("best")))
-        split = rows.select("rid", "doc_id", "version", "text_sha256", "rest", *keys).join(groups, keys)
+        split = rows.select("rid", "doc_id", "version", "text_sha256", "rest", *keys).join(groups.hint("merge"), keys)
         ended = (F.col("group_size") == 1) | (F.length("rest") == 0)
         split = stored(split.select("rid", "doc_id", "version", "text_sha256", F.col("next").alias("node"), "group_size", "best", (~ended).alias("open"), F.when(~ended, F.col("rest")).alias("rest")))
         parts.append(split.filter("not open").select("doc_id", "version", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"), "text_sha256"))
