@@ -56,7 +56,7 @@ class Encoder(dict):
     Chunks are remembered in two generations of a bounded size; a full one becomes the old one.
     """
 
-    LIMIT = 400_000
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
