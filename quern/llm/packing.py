@@ -53,20 +53,30 @@ _ENDING = re.compile(rb"(?<=[a-z0-9])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)(?
 class Encoder(dict):
     """Ids of white-space-free chunks, lower-cased and without ending punctuation: this tokenizer drops white space and case before it merges, so chunks are encoded alone.
 
-    Chunks are remembered in two generations of a bounded size; a full one becomes the old one.
+    A chunk is remembered from its second sight on, as most are seen once only. Both memories are bounded: chunks have two
+    generations, of which a full one becomes the old one; marks of first sights are wiped once they are many.
     """
 
-    LIMIT = 600_000
+    LIMIT = 250_000
+    MARKS = 1 << 22
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.marks, self.marked = bytearray(self.MARKS), 0
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.old.get(chunk)
         if out is None:
             out = array("H", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            at = hash(chunk) % self.MARKS
+            if not self.marks[at]:
+                if self.marked >= self.MARKS // 4:
+                    self.marks, self.marked = bytearray(self.MARKS), 0
+                self.marks[at] = 1
+                self.marked += 1
+                return out
         if len(self) >= self.LIMIT:
             self.old = dict(self)
             self.clear()
