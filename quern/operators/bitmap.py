@@ -21,17 +21,14 @@ def bitmaps(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFr
 
 
 def count_distinct(df: DataFrame, column: str, keys: list[str] | None = None, name: str = "n") -> DataFrame:
-    """Exact count of distinct values for each key: never null, 0 where all are null."""
-    keys = keys or []
-    counted = bitmaps(df, column, keys).groupBy(*keys).agg(F.sum(F.bitmap_count("bitmap")).cast("long").alias(name))
-    if not keys:
-        return counted.select(F.coalesce(name, F.lit(0).cast("long")).alias(name))
-    every = df.select(*keys).distinct()
-    same = None
-    for k in keys:
-        c = every[k].eqNullSafe(counted[k])
-        same = c if same is None else same & c
-    return every.join(counted, same, "left").select(*[every[k] for k in keys], F.coalesce(counted[name], F.lit(0).cast("long")).alias(name))
+    """Exact count of distinct values for each key: never null, 0 where all are null.
+
+    Nulls fall into a block of their own, whose bitmap stays empty, so that keys without values keep their row.
+    """
+    _checked(df, column)
+    x = F.col(column).cast("long")
+    blocks = df.groupBy(*(keys or []), F.bitmap_bucket_number(x).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bitmap"))
+    return blocks.groupBy(*(keys or [])).agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).cast("long").alias(name))
 
 
 def merge(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
