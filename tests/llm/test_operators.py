@@ -291,6 +291,18 @@ def test_encoder_matches_tokenizer():
         assert encode.ids(t.encode()).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_memories_stay_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing.Encoder, "LIMIT", 40)
+    monkeypatch.setattr(packing.Encoder, "MARKS", 64)
+    encode, tok = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for t in [r[1] or "" for r in ROWS[:60]] * 2:
+        assert encode.ids(t.encode()).tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(encode) <= 40 and len(encode.old) <= 40 and sum(encode.marks) <= 16
+    assert encode.old  # both generations were in use
+
+
 def test_neighbours_share_rare_tokens():
     index = packing.Index([np.array(x, np.uint16) for x in ([1, 2, 3], [1, 9, 8], [3, 2, 7], [5, 6, 4])])
     assert index.neighbours(0, np.zeros(4, bool)).tolist() == [2, 1]
