@@ -5,10 +5,12 @@ which is broadcast (HEAD words at most); counts of all other words reach their
 documents by a join. The output softmax is factored by class: head words are cut
 by rank into classes, words after the head form the last class. Within the
 classes of the TOP words the state decides; within other classes the counts do.
-The network learns by truncated backpropagation on a bounded sample of training
-documents (SAMPLE, by a hash of doc_id) and starts from the counts' biases. A
-document is scored from an empty state that is carried from window to window to
-its end.
+The network learns by truncated backpropagation on all training documents, whole
+texts, and starts from the counts' biases: documents are dealt by hash to shards
+of about SHARD tokens, each shard is learned in a fixed order from the same
+weights, and the shards' weights are averaged by tokens after each of EPOCHS
+passes. A document is scored from an empty state that is carried from window to
+window to its end.
 
 Defined results: a null or empty text has one token, its end; with no training
 documents every count is 0; rows repeated are scored alike; null ids count as
@@ -17,6 +19,8 @@ empty text in the fold; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of, words_of
+from .common import dropped, partitions, slices, stored, texts_of, words_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the head; those of them that have vectors; words of a class among these; classes of the rest.
 HEAD, TOP, CLASS, REST = 65_536, 2_048, 64, 31
 HIDDEN = 32
-#: Training documents that the network is fitted on at most, and tokens read of them in all.
-SAMPLE, TOKENS = 2_000, 400_000
+#: Training tokens of a shard, on average.
+SHARD = 1_000_000
 LANES, WINDOW, EPOCHS, RATE = 64, 32, 3, 0.01
 #: Documents scored side by side, and steps whose states are kept.
 SIDE, STEPS = 256, 32
@@ -92,6 +96,8 @@ class Corpus:
         self.class_of = np.append(np.where(ranks < self.top, ranks // CLASS, self.top_classes + (ranks - self.top) // self.rest_size), self.classes - 1).astype(np.int32)
         self.input_of = np.append(np.where(ranks < self.top, ranks, self.top + self.class_of[:-1] - self.top_classes), self.top + self.rest_classes).astype(np.int32)
         self.inputs = self.top + self.rest_classes + 2  # the last one: the start
+        #: A word of each input's class; of the top, the word itself.
+        self.target_of = np.concatenate([np.arange(self.top), self.top + self.rest_size * np.arange(self.rest_classes), [n]]).astype(np.int32)
         mass = np.bincount(self.class_of[:-1], weights=self.counts + 1.0, minlength=self.classes)
         tail = self.total - int(self.counts.sum())
         mass[-1] += tail + self.distinct - n + 1  # words never seen are one more
@@ -156,45 +162,54 @@ class Network:
                 out[rows] += inner[np.arange(len(rows)), target[rows] - k * CLASS] - np.log(np.exp(inner).sum(1))
         return out / np.log(10) + corpus.within[target]
 
-    def learn(self, docs: list[np.ndarray], corpus: Corpus, epochs: int = EPOCHS, rate: float = RATE) -> None:
-        """Truncated backpropagation over lanes that read document after document, a lane's state going on from window to window."""
-        lanes = min(LANES, max(1, len(docs)))
-        loads = [[] for _ in range(lanes)]
+    def learn(self, docs: list[np.ndarray], corpus: Corpus, rate: float = RATE, done: int = 0, epochs: int = EPOCHS) -> None:
+        """One pass, after done of epochs, of truncated backpropagation over docs (inputs): lanes read document after document, a lane's state going on from window to window."""
+        heap, loads = [(0, k) for k in range(min(LANES, len(docs)))], [[] for _ in range(min(LANES, len(docs)))]
         for d in sorted(docs, key=len, reverse=True):
-            min(loads, key=lambda x: sum(map(len, x))).append(d)
-        length = max(sum(map(len, x)) for x in loads)
-        target = np.full((length, lanes), -1, np.int64)
-        source = np.full((length, lanes), corpus.inputs - 1, np.int64)
-        fresh = np.ones((length, lanes), bool)
-        for k, own in enumerate(loads):
-            at = 0
-            for d in own:
-                target[at : at + len(d), k] = d
-                source[at + 1 : at + len(d), k] = corpus.input_of[d[:-1]]
-                fresh[at + 1 : at + len(d), k] = False
-                at += len(d)
+            size, k = heap[0]
+            loads[k].append(d)
+            heapq.heapreplace(heap, (size + len(d), k))
+        loads.sort(key=lambda x: -sum(map(len, x)))
+        lanes, firsts = [np.concatenate(x) for x in loads], []
+        for own in loads:
+            first = np.zeros(sum(map(len, own)), bool)
+            first[np.cumsum([0] + [len(d) for d in own[:-1]])] = True
+            firsts.append(first)
+        sizes = np.array([len(x) for x in lanes])
+        length, start = int(sizes[0]), corpus.inputs - 1
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        n_updates, t, n = epochs * -(-length // WINDOW), 0, self.hidden
-        for _ in range(epochs):
-            h = np.zeros((lanes, n), np.float32)
-            for at in range(0, length, WINDOW):
-                kept, states = [], []
-                for s in range(at, min(at + WINDOW, length)):
-                    h = np.where(fresh[s][:, None], 0, h).astype(np.float32)
-                    h, k = self.step(source[s], h)
-                    kept.append(k)
-                    states.append(h)
-                g, dh = self._output_grads(np.concatenate(states), target[at : at + len(states)].ravel(), corpus)
-                self._backward(kept, fresh[at : at + len(states)], dh.reshape(len(states), lanes, n), g)
-                t += 1
-                lr = rate * (1 - 0.9 * t / n_updates)
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                for k, x in g.items():
-                    x *= min(1.0, 5.0 / (norm + 1e-9))
-                    m[k] += 0.1 * (x - m[k])
-                    v[k] += 0.001 * (x * x - v[k])
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
+        n_updates, t, n = -(-length // WINDOW), 0, self.hidden
+        h = np.zeros((len(lanes), n), np.float32)
+        for at in range(0, length, WINDOW):
+            live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on
+            steps = min(WINDOW, length - at)
+            target = np.full((steps, live), -1, np.int64)
+            source = np.full((steps, live), start, np.int64)
+            fresh = np.ones((steps, live), bool)
+            for k in range(live):
+                own = lanes[k][at : at + steps]
+                target[: len(own), k] = corpus.target_of[own]
+                source[1 : len(own), k] = own[:-1]
+                source[0, k] = lanes[k][at - 1] if at else start
+                fresh[: len(own), k] = firsts[k][at : at + steps]
+            source[fresh] = start
+            kept, states, h = [], [], h[:live]
+            for s in range(steps):
+                h = np.where(fresh[s][:, None], np.float32(0), h)
+                h, k = self.step(source[s], h)
+                kept.append(k)
+                states.append(h)
+            g, dh = self._output_grads(np.concatenate(states), target.ravel(), corpus)
+            self._backward(kept, fresh, dh.reshape(steps, live, n), g)
+            t += 1
+            lr = rate * (1 - 0.9 * (done + t / n_updates) / epochs)
+            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            for k, x in g.items():
+                x *= min(1.0, 5.0 / (norm + 1e-9))
+                m[k] += 0.1 * (x - m[k])
+                v[k] += 0.001 * (x * x - v[k])
+                self.p[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
 
     def _output_grads(self, h: np.ndarray, target: np.ndarray, corpus: Corpus):
         live = np.flatnonzero(target >= 0)
@@ -227,7 +242,7 @@ class Network:
         return g, dh
 
     def _backward(self, kept: list, fresh: np.ndarray, dh_out: np.ndarray, g: dict) -> None:
-        n, dh = self.hidden, np.zeros_like(dh_out[0])
+        n, dh, inputs, grads = self.hidden, np.zeros_like(dh_out[0]), [], []
         for s in range(len(kept) - 1, -1, -1):
             x, h, z, r, c, u = kept[s]
             dh = dh + dh_out[s]
@@ -236,11 +251,16 @@ class Network:
             dr = dc * u * r * (1 - r)
             dx = np.concatenate([dz, dr, dc], 1)
             du = np.concatenate([dz, dr, dc * r], 1)
-            np.add.at(g["x"], x, dx)
+            inputs.append(x)
+            grads.append(dx)
             g["b"] += dx.sum(0)
             g["h"] += h.T @ du
             dh = dh * (1 - z) + du @ self.p["h"].T
             dh = np.where(fresh[s][:, None], 0, dh).astype(np.float32)
+        x = np.concatenate(inputs)
+        order = np.argsort(x, kind="stable")
+        starts = np.flatnonzero(np.diff(x[order], prepend=-1))
+        g["x"][x[order[starts]]] += np.add.reduceat(np.concatenate(grads)[order], starts)
 
     def score(self, docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
         """log10 probability of each document (ids), the words of the tail left to their counts."""
@@ -272,26 +292,93 @@ class Network:
         return out
 
 
-def _trainer(corpus: Corpus):
-    """Fits the network on all rows of one task (a bounded sample)."""
+def _read(corpus: Corpus):
+    """Training documents as inputs, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        docs, total = [], 0
         for b in slices(batches):
-            for text in texts_of(b):
-                if total < TOKENS:
-                    docs.append(corpus.ids(words_of(text.lower()))[: TOKENS - total])
-                    total += len(docs[-1])
-        net = Network(corpus)
-        if docs:
-            net.learn(docs, corpus)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], ["model"])
+            names = b.schema.names
+            ids = [corpus.input_of[corpus.ids(words_of(text.lower()))].astype("<u2").tobytes() for text in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column(names.index(x)) for x in ("shard", "doc_id", "version")] + [pa.array(ids, pa.binary())], ["shard", "doc_id", "version", "ids"])
 
     return run
 
 
+_WEIGHTS = "part long, tokens long, model binary"
+
+
+class _Mean:
+    """Weights averaged by tokens."""
+
+    def __init__(self) -> None:
+        self.tokens, self.sums = 0, {}
+
+    def add(self, p: dict[str, np.ndarray], tokens: int) -> None:
+        self.tokens += tokens
+        for k, x in p.items():
+            self.sums[k] = self.sums.get(k, 0) + x.astype(np.float64) * tokens
+
+    def row(self, part: int) -> pa.RecordBatch:
+        p = {k: (x / self.tokens).astype(np.float32) for k, x in self.sums.items()}
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([self.tokens], pa.int64()), pa.array([pickle.dumps(p)], pa.binary())], ["part", "tokens", "model"])
+
+
+def _trainer(corpus: Corpus, p: dict[str, np.ndarray], done: int):
+    """Learns shard after shard, each from p; gives the mean of a task's shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shards():
+            now, held = None, []
+            for b in slices(batches):
+                names = b.schema.names
+                for shard, ids in zip(b.column(names.index("shard")).to_pylist(), b.column(names.index("ids")).to_pylist(), strict=True):
+                    if shard != now and held:
+                        yield now, held
+                        held = []
+                    now = shard
+                    held.append(np.frombuffer(ids, "<u2"))
+            if held:
+                yield now, held
+
+        mean, least = _Mean(), None
+        for shard, docs in shards():
+            net = Network(corpus)
+            net.p = {k: x.copy() for k, x in p.items()}
+            net.learn(docs, corpus, done=done)
+            mean.add(net.p, sum(map(len, docs)))
+            least = shard if least is None else least
+        if mean.tokens:
+            yield mean.row(least)
+
+    return run
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mean = _Mean()
+    for b in slices(batches, 8):
+        for r in b.to_pylist():
+            mean.add(pickle.loads(r["model"]), r["tokens"])
+    if mean.tokens:
+        yield mean.row(0)
+
+
+def learned(train: DataFrame, corpus: Corpus, shard: int = SHARD) -> tuple[dict[str, np.ndarray], int]:
+    """The network's weights after all passes over train (doc_id, text), and the tokens of a pass. Only one model a pass comes to the driver."""
+    parts = partitions(train.sparkSession)
+    shards = max(1, -(-corpus.total // shard))
+    version = F.xxhash64("doc_id", "text")
+    rows = train.select("doc_id", "text", version.alias("version"), F.pmod(version, F.lit(shards)).alias("shard"))
+    read = stored(rows.mapInArrow(_read(corpus), "shard long, doc_id long, version long, ids binary"))
+    p, tokens = Network(corpus).p, 0
+    for done in range(EPOCHS):
+        dealt = read.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard", "doc_id", "version")
+        means = dealt.mapInArrow(_trainer(corpus, p, done), _WEIGHTS)
+        mean = means.repartition(1).sortWithinPartitions("part").mapInArrow(_averaged, _WEIGHTS).first()
+        p, tokens = pickle.loads(mean["model"]), mean["tokens"]
+    dropped(read)
+    return p, tokens
+
+
 _ROWS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail_words", pa.list_(pa.binary())), ("tail_counts", pa.list_(pa.int32()))])
 
 
@@ -326,7 +413,7 @@ def _scorer(corpus: Corpus, net: Network):
     return run
 
 
-def score_documents(docs: DataFrame, sample: int = SAMPLE, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Counts and network learn from the rows that aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
     train = rows.filter("not held_out")
@@ -336,11 +423,7 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, head: int = HEAD) ->
     corpus = Corpus([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64), int(sums["n"] or 0), int(sums["v"]))
     net = Network(corpus)
     if top:
-        import pickle
-
-        ids = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        fitted = train.join(F.broadcast(ids), "doc_id").select("text").limit(2 * sample).repartition(1).mapInArrow(_trainer(corpus), "model binary")
-        net.p = pickle.loads(fitted.first()["model"])
+        net.p, _ = learned(train, corpus)
     scored = rows.mapInArrow(_scorer(corpus, net), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail_words array<binary>, tail_counts array<int>")
     scored = stored(scored.withColumn("rid", F.monotonically_increasing_id()))
     tail = scored.select("rid", F.explode(F.arrays_zip("tail_words", "tail_counts")).alias("t")).select("rid", F.col("t.tail_words").alias("word"), F.col("t.tail_counts").alias("tf"))

@@ -343,6 +343,24 @@ def test_language_model(docs, nothing):
     assert language_model.score_documents(nothing).count() == 0
 
 
+def test_language_model_learns_from_all_text(spark):
+    r = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{x}" for x in r.integers(0, 60, 9000 if k == 3 else 20))) for k in range(2300)] + [(None, None)]
+    rows += [(5000 + k, "left right " * 9000) for k in range(30)]  # with the others over 400,000 tokens
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(x for _, t in rows for x in [*words(t), b""])
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    c = language_model.Corpus([w for w, _ in top], np.array([n for _, n in top], np.int64), sum(counts.values()), len(counts))
+    p, tokens = language_model.learned(train.repartition(3), c, shard=150_000)
+    assert tokens == sum(counts.values()) > 400_000  # whole texts of all documents
+    again, _ = language_model.learned(train.repartition(7), c, shard=150_000)
+    assert all(np.array_equal(p[k], again[k]) for k in p)
+    net, fitted = language_model.Network(c), language_model.Network(c)
+    fitted.p = p
+    doc = [c.ids(words("left right " * 50))]
+    assert fitted.score(doc, c)[0] > 0.5 * net.score(doc, c)[0]  # both are negative
+
+
 def test_language_model_gradients():
     counts = np.array([9, 7, 5, 4, 3, 2, 1], np.int64)
     corpus_ = language_model.Corpus([b"", b"a", b"b", b"c", b"d", b"e", b"f"], counts, 40, 12)
