@@ -2,10 +2,13 @@
 
 Map tasks tokenize whole texts. Each full window of a long document is a
 sequence of its own; what is left goes to one of many shards of about equal
-size. A shard builds a BM25 inverted index over its documents' tokens; each
-unused document in turn seeds a sequence, and its best unused neighbours fill the
-window, the last one cut, its rest staying in the pool. When a shard runs out,
-its last tokens are cut into sequences of a power of two, which need no padding.
+size by content: documents are ordered by weighted MinHash samples of their
+terms, weighed as BM25 does over the whole corpus, and cut into ranges. A shard
+builds a BM25 inverted index over its documents' tokens; each unused document in
+turn seeds a sequence, and its best unused neighbours by all of its terms fill
+the window, the last one cut, its rest staying in the pool. When a shard runs
+out, its last tokens are cut into sequences of a power of two, which need no
+padding.
 
 Defined results: a null text is empty, and its only id is the end; every id of
 every row lies in exactly one piece, so rows repeated with one doc_id are packed
@@ -25,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, partitions, slices, texts_of
+from .common import kept, partitions, slices, stored, texts_of
 
 LENGTH = 4096
 END = 2
 #: Documents of a shard, on average: the pool from which neighbours come.
 SHARD = 1024
-#: BM25's parameters, and how many of a seed's terms are looked up.
-K1, B, TERMS = 1.2, 0.75, 24
-#: Neighbours fetched for a seed.
-FETCH = 64
+#: BM25's parameters.
+K1, B = 1.2, 0.75
+#: Of so many documents, one is looked at for the bounds of shards.
+BOUNDS = 16
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 _RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -93,36 +96,98 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _tokenized(path: str, shards: int, length: int, end: int):
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+def _tokenized(path: str, length: int, end: int):
+    schema = pa.schema([("version", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(f"encoder of {path}", lambda: Encoder(path))
         for b in slices(batches, 256):
             names = b.schema.names
             out = []
-            for d, place, text in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("place")).to_pylist(), texts_of(b), strict=True):
+            for d, version, text in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("version")).to_pylist(), texts_of(b), strict=True):
                 ids = np.append(encode.ids(text), np.uint16(end)).astype("<u2")
                 for k in range(0, len(ids), length):
-                    # full windows of a long document needn't stay together
-                    out.append(((place + k // length) % shards, d, k, len(ids), ids[k : k + length].tobytes()))
+                    out.append((version, d, k, len(ids), ids[k : k + length].tobytes()))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2000], strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _tallied(length: int):
+    """(term, n): documents of the pool that have the term; term -1: documents, -2: tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(65536, np.int64), 0, 0
+        for b in slices(batches):
+            for x in b.column(b.schema.names.index("ids")).to_pylist():
+                if len(x) < 2 * length:
+                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                    n, tokens = n + 1, tokens + len(x) // 2
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, tokens]))], ["term", "n"])
+
+    return run
+
+
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def content_key(ids: np.ndarray, idf: np.ndarray, draws: np.ndarray) -> int:
+    """A term for each row of draws (exponential variates by term), 16 bits each: two documents have a term in common as often as their weighted Jaccard likeness says."""
+    terms, tf = np.unique(ids, return_counts=True)
+    least = draws[:, terms] / (idf[terms] * tf / (tf + K1))
+    out = 0
+    for t in terms[least.argmin(1)].tolist():
+        out = out << 16 | t
+    return out
+
+
+def _coded(length: int, df: np.ndarray, n: int):
+    """Adds code, by which documents are ordered: 48 bits of content, then 15 of the version, so that crowds of one content can be cut. None for full windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = np.where(df > 1, _idf(n, df), 1e-9)  # a term of one document can't bring it to another
+        draws = np.random.default_rng(11).exponential(size=(3, 65536))
+        for b in slices(batches):
+            names = b.schema.names
+            codes = []
+            for version, x in zip(b.column(names.index("version")).to_pylist(), b.column(names.index("ids")).to_pylist(), strict=True):
+                codes.append(content_key(np.frombuffer(x, "<u2"), idf, draws) << 15 | version >> 32 & 0x7FFF if len(x) < 2 * length else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.int64())], [*names, "code"])
+
+    return run
+
+
+def _dealt(bounds: np.ndarray, coded):
+    """Rows coded in the same Python worker, by code to shard; full windows of a long document needn't stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in coded(batches):
+            names = b.schema.names
+            get = lambda name: b.column(names.index(name))  # noqa: E731, B023
+            codes = get("code")
+            spread = (get("version").to_numpy() + get("start").to_numpy()) % (len(bounds) + 1)
+            shard = np.where(codes.is_null().to_numpy(zero_copy_only=False), spread, np.searchsorted(bounds, codes.fill_null(0).to_numpy(), "right"))
+            kept_names = ["doc_id", "start", "doc_tokens", "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *map(get, kept_names)], ["shard", *kept_names])
+
+    return run
+
+
 class Index:
-    """BM25 over the tokens of a shard's documents."""
+    """BM25 over the tokens of a shard's documents; idf and mean length are the whole corpus's where given."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None) -> None:
         n = len(docs)
         sizes = np.array([len(d) for d in docs], np.int64)
         pairs, tf = np.unique(np.repeat(np.arange(n), sizes) << 16 | np.concatenate(docs), return_counts=True) if n else (np.empty(0, np.int64), np.empty(0))
         self.n, doc, term = n, pairs >> 16, pairs & 0xFFFF
         df = np.bincount(term, minlength=65536)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(1.0, sizes.mean())))
+        self.idf = _idf(n, df) if idf is None else idf
+        mean = max(1.0, sizes.mean() if mean is None else mean) if n else 1.0
+        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.of_doc = np.searchsorted(doc, np.arange(n + 1))
         self.terms, self.weights = term, weight
         order = np.argsort(term, kind="stable")
@@ -131,25 +196,21 @@ class Index:
         self.df = df
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with seed, best first."""
+        """All unused documents that share a term with seed, best first."""
         own = slice(self.of_doc[seed], self.of_doc[seed + 1])
-        terms, weights = self.terms[own], self.weights[own]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-weights, TERMS)[:TERMS]]
+        terms = self.terms[own]
+        terms = terms[self.df[terms] > 1]
         spans = [slice(self.of_term[t], self.of_term[t + 1]) for t in terms]
         if not spans:
             return np.empty(0, np.int64)
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
         score[used] = 0
         score[seed] = 0
-        best = np.argpartition(-score, FETCH)[:FETCH] if self.n > FETCH else np.arange(self.n)
-        best = best[score[best] > 0]
+        best = np.flatnonzero(score > 0)
         return best[np.lexsort((best, -score[best]))]
 
 
-def pack_shard(items: list[tuple], length: int = LENGTH) -> Iterator[tuple]:
+def pack_shard(items: list[tuple], length: int = LENGTH, idf: np.ndarray | None = None, mean: float | None = None) -> Iterator[tuple]:
     """items (doc_id, start, doc_tokens, ids) to pieces (doc_id, start, length, crc, doc_tokens, sequence, offset, ids)."""
     sequence = 0
     piece = lambda x, a, n, s, o: (x[0], x[1] + a, n, _crc(x[3][a : a + n]), x[2], s, o, x[3][a : a + n].tobytes())
@@ -162,7 +223,7 @@ def pack_shard(items: list[tuple], length: int = LENGTH) -> Iterator[tuple]:
             pool.append(x)
     if not pool:
         return
-    index = Index([x[3] for x in pool])
+    index = Index([x[3] for x in pool], idf, mean)
     used, at, left = np.zeros(len(pool), bool), [0] * len(pool), sum(len(x[3]) for x in pool)
     first = 0  # every document before this one is used
 
@@ -194,7 +255,7 @@ def pack_shard(items: list[tuple], length: int = LENGTH) -> Iterator[tuple]:
         sequence += 1
 
 
-def _packed(length: int, with_ids: bool):
+def _packed(length: int, with_ids: bool, df: np.ndarray, n: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shards():
             now, held = None, []
@@ -208,8 +269,9 @@ def _packed(length: int, with_ids: bool):
             if held:
                 yield now, held
 
+        idf = _idf(n, df)
         for shard, items in shards():
-            out = [(d, s, n, c, t, (shard << 32) + q, o, ids if with_ids else None) for d, s, n, c, t, q, o, ids in pack_shard(items, length)]
+            out = [(d, s, m, c, t, (shard << 32) + q, o, ids if with_ids else None) for d, s, m, c, t, q, o, ids in pack_shard(items, length, idf, tokens / max(1, n))]
             for k in range(0, len(out), 4000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 4000], strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
@@ -219,9 +281,20 @@ def _packed(length: int, with_ids: bool):
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, shard: int = SHARD, with_ids: bool = True) -> DataFrame:
     """docs (doc_id, text) to pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids: little-endian 16-bit)."""
     spark = docs.sparkSession
-    shards = max(1, -(-docs.count() // shard))
     parts = partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("place"))
-    ids = rows.mapInArrow(_tokenized(path or tokenizer_path(), shards, length, end), "shard int, doc_id long, start long, doc_tokens long, ids binary")
-    dealt = ids.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "doc_id", "start")
-    return dealt.mapInArrow(_packed(length, with_ids), _RESULT)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("version"))
+    ids = stored(rows.mapInArrow(_tokenized(path or tokenizer_path(), length, end), "version long, doc_id long, start long, doc_tokens long, ids binary"))
+    tally = {r["term"]: r["n"] for r in ids.select("ids").mapInArrow(_tallied(length), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most 65538 rows
+    n, tokens = tally.pop(-1, 0), tally.pop(-2, 0)
+    df = np.zeros(65536, np.int64)
+    df[list(tally.keys())] = list(tally.values())
+    coded = _coded(length, df, n)
+    shards, bounds = max(1, -(-n // shard)), np.empty(0, np.int64)
+    if shards > 1:
+        some = ids.filter(F.pmod("version", F.lit(BOUNDS)) == 0)
+        seen = some.mapInArrow(coded, "version long, doc_id long, start long, doc_tokens long, ids binary, code long").filter("code is not null").select("code")
+        seen = np.sort(np.array([r["code"] for r in seen.collect()], np.int64))  # eight bytes of each BOUNDS-th document
+        bounds = np.unique(seen[len(seen) * np.arange(1, shards) // shards]) if len(seen) else bounds
+    dealt = ids.mapInArrow(_dealt(bounds, coded), "shard int, doc_id long, start long, doc_tokens long, ids binary")
+    dealt = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "doc_id", "start")
+    return dealt.mapInArrow(_packed(length, with_ids, df, n, tokens), _RESULT)

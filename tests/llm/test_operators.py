@@ -310,6 +310,29 @@ def test_neighbours_share_rare_tokens():
     assert index.neighbours(3, np.zeros(4, bool)).tolist() == []
 
 
+def test_neighbours_by_all_terms_and_without_end():
+    seed = np.arange(100, dtype=np.uint16)
+    docs = [seed] + [np.array([k % 100, 200 + k], np.uint16) for k in range(300)]
+    found = packing.Index(docs).neighbours(0, np.zeros(301, bool))
+    assert sorted(found.tolist()) == list(range(1, 301))  # each shares but one of the seed's terms
+
+
+def test_related_documents_meet_in_a_shard(spark):
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(8)
+    vocabulary = sorted(w for w in Tokenizer.from_file(packing.tokenizer_path()).get_vocab() if w.isascii() and w.isalpha() and w.islower() and len(w) > 6)
+    topics = r.choice(vocabulary, (12, 40), replace=False).tolist()
+    rows = [(k, " ".join(r.choice(topics[k % 12], 30))) for k in range(1200)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shard=100, length=1024).collect()
+    topics_of = {}
+    for x in found:
+        topics_of.setdefault(x["sequence_id"] >> 32, []).append(x["doc_id"] % 12)
+    assert len(topics_of) > 6
+    main = sum(max(Counter(v).values()) for v in topics_of.values()) / len(found)
+    assert main > 0.3  # at random about one of seven
+
+
 def test_fixity(spark):
     rows = [(k, f"http://h/{k}", f"<p>{k} é</p>" * (k % 50)) for k in range(3000)] + [(None, None, None), (5, "http://h/5", "twin")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
