@@ -1,7 +1,7 @@
 """LM scoring with a gated recurrent network in numpy.
 
 Word counts cover all training documents. The most frequent words form the head,
-which is broadcast (HEAD words at most); counts of all other words reach their
+which is broadcast (HEAD words at most: those whose count passes a cut); counts of all other words reach their
 documents by a join. The output softmax is factored by class: head words are cut
 by rank into classes, words after the head form the last class. Within the
 classes of the TOP words the state decides; within other classes the counts do.
@@ -12,14 +12,19 @@ weights, and the shards' weights are averaged by tokens after each of EPOCHS
 passes. A document is scored from an empty state that is carried from window to
 window to its end.
 
-Defined results: a null or empty text has one token, its end; with no training
-documents every count is 0; rows repeated are scored alike; null ids count as
-empty text in the fold; columns other than doc_id and text are ignored.
+Defined results: a null or empty text has one token, its end; an empty table gives
+an empty result; with no training documents every count is 0 and the network
+stays as it starts; very long texts are learned and scored whole, window after
+window; rows repeated are learned as often as they occur and scored alike, in any
+layout of the table; null ids count as empty text in the fold; words of equal
+count are ranked by their bytes; columns other than doc_id and text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, slices, stored, texts_of, words_of
+from .common import dropped, partitions, reuse_memory, slices, stored, texts_of, words_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the head; those of them that have vectors; words of a class among these; classes of the rest.
@@ -39,9 +44,13 @@ HIDDEN = 32
 SHARD = 1_000_000
 LANES, WINDOW, EPOCHS, RATE = 64, 32, 3, 0.01
 #: Documents scored side by side, and steps whose states are kept.
-SIDE, STEPS = 256, 32
+SIDE, STEPS = 512, 32
 #: Stands for the end of a document among the words.
 END = b""
+#: The largest logit: its exponential is summed in single precision.
+LOGIT = 80.0
+#: Steps of an octave by which counts are told apart when the head is cut.
+OCTAVE = 64
 
 
 def held_out(doc_id):
@@ -115,7 +124,26 @@ class Corpus:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place; returns the logarithm of what exp(x) was divided by, by row. Logits lie well within LOGIT, which only guards against overflow."""
+    np.clip(x, -LOGIT, LOGIT, out=x)
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x /= total[:, None]
+    return np.log(total)
+
+
+def _padded(n: int, to: int = 16) -> int:
+    """Matrix products of whole blocks of rows give a row the same result wherever it stands."""
+    return -(-n // to) * to
 
 
 class Network:
@@ -137,29 +165,56 @@ class Network:
             "wb": words,
         }
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """x: input ids; returns the next state and what backpropagation needs."""
+    def step(self, x: np.ndarray, h: np.ndarray, gx: np.ndarray | None = None):
+        """x: input ids, gx: what they add to the gates; returns the next state and what backpropagation needs."""
         n = self.hidden
-        gx, gh = self.p["x"][x] + self.p["b"], h @ self.p["h"]
+        if gx is None:
+            gx = self.p["x"][x] + self.p["b"]
+        gh = h @ self.p["h"]
         zr = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
-        return h + z * (c - h), (x, h, z, r, c, gh[:, 2 * n :])
+        z, r, u = zr[:, :n], zr[:, n:], gh[:, 2 * n :]
+        c = r * u
+        c += gx[:, 2 * n :]
+        np.tanh(c, out=c)
+        after = c - h
+        after *= z
+        after += h
+        return after, (x, h, z, r, c, u)
+
+    def _by_class(self, target: np.ndarray, corpus: Corpus):
+        """An order of rows by class, their classes, and the cuts between those of the top words."""
+        cls = corpus.class_of[target]
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order]
+        return order, cls, np.searchsorted(cls, np.arange(corpus.top_classes + 1))
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, corpus: Corpus) -> np.ndarray:
         """log10 of each target (ids; the tail's without its words) given its state."""
-        logits = h @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        cls = corpus.class_of[target]
-        out = logits[np.arange(len(h)), cls] - np.log(np.exp(logits).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(corpus.top_classes + 1))
-        for k in range(corpus.top_classes):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                inner = h[rows] @ self.p["w"][k] + self.p["wb"][k]
-                inner -= inner.max(1, keepdims=True)
-                out[rows] += inner[np.arange(len(rows)), target[rows] - k * CLASS] - np.log(np.exp(inner).sum(1))
+        n = len(h)
+        order, cls, cuts = self._by_class(target, corpus)
+        x = np.zeros((_padded(n), h.shape[1]), h.dtype)
+        x[:n] = h[order]
+        logits = (x @ self.p["c"])[:n]
+        logits += self.p["cb"]
+        own = logits[np.arange(n), cls]
+        own -= _softmax(logits)
+        top = int(cuts[-1])
+        if top:
+            sizes = np.diff(cuts)
+            starts = np.concatenate([[0], np.cumsum([_padded(k) for k in sizes])])
+            at = np.arange(top) + np.repeat(starts[:-1] - cuts[:-1], sizes)
+            wide = np.zeros((int(starts[-1]), h.shape[1]), h.dtype)
+            wide[at] = x[:top]
+            inner = np.empty((len(wide), CLASS), h.dtype)
+            for k in np.flatnonzero(sizes):
+                part = slice(starts[k], starts[k + 1])
+                np.matmul(wide[part], self.p["w"][k], out=inner[part])
+                inner[part] += self.p["wb"][k]
+            said = inner[at, target[order[:top]] - cls[:top] * CLASS]
+            said -= _softmax(inner)[at]
+            own[:top] += said
+        out = np.empty(n)
+        out[order] = own
         return out / np.log(10) + corpus.within[target]
 
     def learn(self, docs: list[np.ndarray], corpus: Corpus, rate: float = RATE, done: int = 0, epochs: int = EPOCHS) -> None:
@@ -170,124 +225,163 @@ class Network:
             loads[k].append(d)
             heapq.heapreplace(heap, (size + len(d), k))
         loads.sort(key=lambda x: -sum(map(len, x)))
-        lanes, firsts = [np.concatenate(x) for x in loads], []
-        for own in loads:
-            first = np.zeros(sum(map(len, own)), bool)
-            first[np.cumsum([0] + [len(d) for d in own[:-1]])] = True
-            firsts.append(first)
-        sizes = np.array([len(x) for x in lanes])
+        sizes = np.array([sum(map(len, x)) for x in loads])
         length, start = int(sizes[0]), corpus.inputs - 1
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        words = np.full((length, len(loads)), -1, np.int32)
+        fresh = np.ones((length, len(loads)), bool)
+        for k, own in enumerate(loads):
+            words[: sizes[k], k] = np.concatenate(own)
+            fresh[: sizes[k], k] = False
+            fresh[np.cumsum([0] + [len(d) for d in own[:-1]]), k] = True
+        del loads, docs
+        #: All weights in one vector, and so their gradients and moments.
+        theta = np.concatenate([x.ravel() for x in self.p.values()])
+        slope, m, v, spare = np.empty_like(theta), np.zeros_like(theta), np.zeros_like(theta), np.empty_like(theta)
+        g, at = {}, 0
+        for k, x in self.p.items():
+            self.p[k], g[k] = (y[at : at + x.size].reshape(x.shape) for y in (theta, slope))
+            at += x.size
         n_updates, t, n = -(-length // WINDOW), 0, self.hidden
-        h = np.zeros((len(lanes), n), np.float32)
+        h = np.zeros((len(sizes), n), theta.dtype)
         for at in range(0, length, WINDOW):
             live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on
             steps = min(WINDOW, length - at)
-            target = np.full((steps, live), -1, np.int64)
+            own, new = words[at : at + steps, :live], fresh[at : at + steps, :live]
             source = np.full((steps, live), start, np.int64)
-            fresh = np.ones((steps, live), bool)
-            for k in range(live):
-                own = lanes[k][at : at + steps]
-                target[: len(own), k] = corpus.target_of[own]
-                source[1 : len(own), k] = own[:-1]
-                source[0, k] = lanes[k][at - 1] if at else start
-                fresh[: len(own), k] = firsts[k][at : at + steps]
-            source[fresh] = start
-            kept, states, h = [], [], h[:live]
+            source[1:] = own[:-1]
+            if at:
+                source[0] = words[at - 1, :live]
+            source[new] = start
+            gates = self.p["x"][source]
+            gates += self.p["b"]
+            kept, states, h, begins = [], np.empty((steps, live, n), theta.dtype), h[:live], new.any(1)
             for s in range(steps):
-                h = np.where(fresh[s][:, None], np.float32(0), h)
-                h, k = self.step(source[s], h)
+                if begins[s]:
+                    h = np.where(new[s][:, None], theta.dtype.type(0), h)
+                h, k = self.step(source[s], h, gates[s])
                 kept.append(k)
-                states.append(h)
-            g, dh = self._output_grads(np.concatenate(states), target.ravel(), corpus)
-            self._backward(kept, fresh, dh.reshape(steps, live, n), g)
+                states[s] = h
+            slope[:] = 0
+            target = np.where(own >= 0, corpus.target_of[own], -1).ravel()
+            _, dh = self._output_grads(states.reshape(-1, n), target, corpus, g)
+            self._backward(kept, new, dh.reshape(steps, live, n), g)
             t += 1
             lr = rate * (1 - 0.9 * (done + t / n_updates) / epochs)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for k, x in g.items():
-                x *= min(1.0, 5.0 / (norm + 1e-9))
-                m[k] += 0.1 * (x - m[k])
-                v[k] += 0.001 * (x * x - v[k])
-                self.p[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)).astype(np.float32)
-
-    def _output_grads(self, h: np.ndarray, target: np.ndarray, corpus: Corpus):
+            share = min(1.0, 5.0 / (math.sqrt(float(slope @ slope)) + 1e-9))
+            slope *= share
+            m *= 0.9
+            np.multiply(slope, 0.1, out=spare)
+            m += spare
+            v *= 0.999
+            np.multiply(slope, slope, out=spare)
+            spare *= 0.001
+            v += spare
+            np.multiply(v, 1 / (1 - 0.999**t), out=spare)
+            np.sqrt(spare, out=spare)
+            spare += 1e-6
+            np.divide(m, spare, out=spare)
+            spare *= lr / (1 - 0.9**t)
+            theta -= spare
+
+    def _output_grads(self, h: np.ndarray, target: np.ndarray, corpus: Corpus, g: dict | None = None):
         live = np.flatnonzero(target >= 0)
-        g = {k: np.zeros_like(x) for k, x in self.p.items()}
+        if g is None:
+            g = {k: np.zeros_like(x) for k, x in self.p.items()}
         dh = np.zeros_like(h)
         if not len(live):
             return g, dh
-        x, y = h[live], target[live]
-        cls, scale = corpus.class_of[y], np.float32(1 / len(live))
-        p = x @ self.p["c"] + self.p["cb"]
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(x)), cls] -= 1
+        order, cls, cuts = self._by_class(target[live], corpus)
+        live = live[order]
+        x, y, scale = h[live], target[live], h.dtype.type(1 / len(live))
+        p = x @ self.p["c"]
+        p += self.p["cb"]
+        _softmax(p)
         p *= scale
-        g["c"], g["cb"] = x.T @ p, p.sum(0)
+        p[np.arange(len(x)), cls] -= scale
+        np.matmul(x.T, p, out=g["c"])
+        g["cb"][:] = p.sum(0)
         d = p @ self.p["c"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(corpus.top_classes + 1))
-        for k in range(corpus.top_classes):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                q = x[rows] @ self.p["w"][k] + self.p["wb"][k]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(rows)), y[rows] - k * CLASS] -= 1
-                q *= scale
-                g["w"][k], g["wb"][k] = x[rows].T @ q, q.sum(0)
-                d[rows] += q @ self.p["w"][k].T
+        top, used = int(cuts[-1]), np.flatnonzero(np.diff(cuts))
+        if top:
+            q = np.empty((top, CLASS), h.dtype)
+            parts = [(k, slice(cuts[k], cuts[k + 1])) for k in used]
+            for k, part in parts:
+                np.matmul(x[part], self.p["w"][k], out=q[part])
+                q[part] += self.p["wb"][k]
+            _softmax(q)
+            q *= scale
+            q[np.arange(top), y[:top] - cls[:top] * CLASS] -= scale
+            g["wb"][used] = np.add.reduceat(q, cuts[used])
+            for k, part in parts:
+                np.matmul(x[part].T, q[part], out=g["w"][k])
+                d[part] += q[part] @ self.p["w"][k].T
         dh[live] = d
         return g, dh
 
     def _backward(self, kept: list, fresh: np.ndarray, dh_out: np.ndarray, g: dict) -> None:
-        n, dh, inputs, grads = self.hidden, np.zeros_like(dh_out[0]), [], []
+        n, dh, back = self.hidden, np.zeros_like(dh_out[0]), self.p["h"].T.copy()
+        gates = np.empty((len(kept), len(dh), 3 * n), dh.dtype)  # of what comes in by the word, and in du by the state
+        du, begins = np.empty_like(gates), fresh.any(1)
         for s in range(len(kept) - 1, -1, -1):
-            x, h, z, r, c, u = kept[s]
-            dh = dh + dh_out[s]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - h) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            dx = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            inputs.append(x)
-            grads.append(dx)
-            g["b"] += dx.sum(0)
-            g["h"] += h.T @ du
-            dh = dh * (1 - z) + du @ self.p["h"].T
-            dh = np.where(fresh[s][:, None], 0, dh).astype(np.float32)
-        x = np.concatenate(inputs)
+            _, h, z, r, c, u = kept[s]
+            dh += dh_out[s]
+            dx, dz = gates[s], dh * z
+            dc = dx[:, 2 * n :]
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= dz
+            keep = 1 - z
+            a = dx[:, :n]
+            np.subtract(c, h, out=a)
+            a *= dz
+            a *= keep
+            b = dx[:, n : 2 * n]
+            np.subtract(1, r, out=b)
+            b *= r
+            b *= u
+            b *= dc
+            du[s, :, : 2 * n] = dx[:, : 2 * n]
+            np.multiply(dc, r, out=du[s, :, 2 * n :])
+            dh *= keep
+            dh += du[s] @ back
+            if begins[s]:
+                dh[fresh[s]] = 0
+        flat = gates.reshape(-1, 3 * n)
+        g["b"] += flat.sum(0)
+        g["h"] += np.concatenate([k[1] for k in kept]).T @ du.reshape(-1, 3 * n)
+        x = np.concatenate([k[0] for k in kept])
         order = np.argsort(x, kind="stable")
         starts = np.flatnonzero(np.diff(x[order], prepend=-1))
-        g["x"][x[order[starts]]] += np.add.reduceat(np.concatenate(grads)[order], starts)
+        g["x"][x[order[starts]]] += np.add.reduceat(flat[order], starts)
 
     def score(self, docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
         """log10 probability of each document (ids), the words of the tail left to their counts."""
         out = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
+        gates, start = self.p["x"] + self.p["b"], corpus.inputs - 1
         for at in range(0, len(order), SIDE):
             lanes = order[at : at + SIDE]
             sizes = np.array([len(docs[k]) for k in lanes])
-            h = np.zeros((len(lanes), self.hidden), np.float32)
-            last = np.full(len(lanes), corpus.inputs - 1, np.int32)
+            h, last = np.zeros((_padded(len(lanes)), self.hidden), gates.dtype), np.full(_padded(len(lanes)), start, np.int32)
             for s in range(0, int(sizes[0]), STEPS):
                 n = int(np.searchsorted(-sizes, -s, "left"))  # lanes that go on
-                block = np.full((STEPS, n), -1, np.int32)
+                block = np.full((STEPS, _padded(n)), -1, np.int32)
                 for k in range(n):
                     part = docs[lanes[k]][s : s + STEPS]
                     block[: len(part), k] = part
-                states, x, now = [], last[:n], h[:n]
+                states, said, who, x, now = [], [], [], last[: _padded(n)], h[: _padded(n)]
                 for y in block:
-                    m = len(y) if y[-1] >= 0 else int(np.searchsorted(y < 0, True))
+                    m = int(np.searchsorted(y[:n] < 0, True)) if y[n - 1] < 0 else n
                     if m == 0:
                         break
-                    now, _ = self.step(x[:m], now[:m])
-                    states.append((now, y[:m]))
-                    x = corpus.input_of[y[:m]]
-                logs = self.log_probs(np.concatenate([a for a, _ in states]), np.concatenate([b for _, b in states]), corpus)
-                who = np.concatenate([np.arange(len(b)) for _, b in states])
-                out[lanes[:n]] += np.bincount(who, weights=logs, minlength=n)
+                    wide = _padded(m)
+                    now, _ = self.step(x[:wide], now[:wide], gates[x[:wide]])
+                    states.append(now[:m])
+                    said.append(y[:m])
+                    who.append(np.arange(m))
+                    x = np.where(y[:wide] < 0, start, corpus.input_of[y[:wide]])
+                logs = self.log_probs(np.concatenate(states), np.concatenate(said), corpus)
+                out[lanes[:n]] += np.bincount(np.concatenate(who), weights=logs, minlength=n)
                 h, last = now, x
         return out
 
@@ -340,6 +434,7 @@ def _trainer(corpus: Corpus, p: dict[str, np.ndarray], done: int):
             if held:
                 yield now, held
 
+        reuse_memory()
         mean, least = _Mean(), None
         for shard, docs in shards():
             net = Network(corpus)
@@ -386,6 +481,7 @@ def _scorer(corpus: Corpus, net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
+        reuse_memory()
         n, known = len(corpus.words), np.append(corpus.counts > 0, False)
         for b in slices(batches, 2048):
             if b.num_rows:
@@ -413,16 +509,33 @@ def _scorer(corpus: Corpus, net: Network):
     return run
 
 
+def frequent(counts: DataFrame, head: int) -> list:
+    """The rows of counts (word, c) whose count lies above a cut that at most head words pass, most frequent first.
+
+    The cut is one of OCTAVE steps of each doubling, so only some thousands of rows and then the head come to the driver, whatever the vocabulary.
+    """
+    step = F.floor(F.log2(F.col("c")) * OCTAVE).cast("int")
+    steps = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    passed, cut = 0, None
+    for at, n in steps:
+        passed += n
+        if passed > head:
+            break
+        cut = at
+    found = counts.filter(step >= cut).collect() if cut is not None else []
+    return sorted(found, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """docs (doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Counts and network learn from the rows that aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
     train = rows.filter("not held_out")
     counts = stored(word_counts(train))
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.col("c").desc(), "word").limit(head).collect()  # at most HEAD words
+    top = frequent(counts, head)
     corpus = Corpus([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64), int(sums["n"] or 0), int(sums["v"]))
     net = Network(corpus)
-    if top:
+    if corpus.total:
         net.p, _ = learned(train, corpus)
     scored = rows.mapInArrow(_scorer(corpus, net), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail_words array<binary>, tail_counts array<int>")
     scored = stored(scored.withColumn("rid", F.monotonically_increasing_id()))

@@ -480,3 +480,53 @@ def test_toxicity(spark, docs, nothing):
     none = toxicity.fit(docs, labels.filter("false"))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {toxicity.DEFAULT}
     assert toxicity.score(nothing, model).count() == 0
+
+
+def test_language_model_scores_in_any_layout(docs):
+    by = lambda n: sorted(((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in language_model.score_documents(docs.repartition(n)).collect()))
+    a, b = by(3), by(7)
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert max(abs(x[2] - y[2]) for x, y in zip(a, b, strict=True)) < 1e-9
+
+
+def test_language_model_score_is_a_plain_forward_pass():
+    r = np.random.default_rng(9)
+    counts = np.sort(r.integers(1, 900, 3000))[::-1].astype(np.int64)
+    c = language_model.Corpus([f"w{k}".encode() for k in range(3000)], counts, int(counts.sum()) + 500, 3200)
+    net = language_model.Network(c)
+    net.p = {k: x + 0.3 * r.standard_normal(x.shape).astype(np.float32) for k, x in net.p.items()}
+    docs_ = [r.integers(0, 3001, n).astype(np.int32) for n in (1, 5, 90, 33)]
+    p, n = {k: x.astype(np.float64) for k, x in net.p.items()}, net.hidden
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    log_share = lambda x, k: x[k] - np.log(np.exp(x).sum())
+    for doc, got in zip(docs_, net.score(docs_, c), strict=True):
+        h, last, total = np.zeros(n), c.inputs - 1, 0.0
+        for w in doc.tolist():
+            gx, gh = p["x"][last] + p["b"], h @ p["h"]
+            z, q = logistic(gx[:n] + gh[:n]), logistic(gx[n : 2 * n] + gh[n : 2 * n])
+            h = (1 - z) * h + z * np.tanh(gx[2 * n :] + q * gh[2 * n :])
+            k = c.class_of[w]
+            total += log_share(h @ p["c"] + p["cb"], k)
+            if w < c.top:
+                total += log_share(h @ p["w"][k] + p["wb"][k], w - k * language_model.CLASS)
+            total += c.within[w] * math.log(10)
+            last = c.input_of[w]
+        assert got == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+@pytest.mark.parametrize("head", [language_model.HEAD, 1])
+def test_language_model_without_ids_or_training_rows(spark, head):
+    schema = "doc_id long, text string, word string, c long"
+    rows = [(None, "a b a", "x", 1), (None, "", "x", 1), (None, None, "x", 1)]
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
+    for table in (rows, [(held, "a b a", "x", 1)]):
+        found = language_model.score_documents(spark.createDataFrame(table, schema), head=head).collect()
+        assert sorted(r["n_tokens"] for r in found) == sorted(len(words(r[1])) + 1 for r in table)
+        assert all(r["score"] <= 0 and r["base_score"] <= 0 for r in found)
+
+
+def test_frequent_words_by_a_cut_of_counts(spark):
+    counts = [(f"w{k}".encode(), n) for k, n in enumerate([900, 900, 500, 40, 40, 40, 7, 1, 1])]
+    df = spark.createDataFrame(counts, "word binary, c long")
+    found = lambda n: [(bytes(r["word"]), r["c"]) for r in language_model.frequent(df, n)]
+    assert found(99) == counts and found(8) == counts[:7] and found(5) == counts[:3] and found(1) == []
