@@ -18,6 +18,7 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -49,47 +50,116 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: ASCII punctuation that ends a chunk after a letter or digit: the tokenizer cuts there too.
-_ENDING = re.compile(rb"(?<=[a-z0-9])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)(?=[\x20\x09-\x0D]|$)")
+#: A mark that ends a chunk after a letter or digit: the tokenizer cuts there too.
+_ENDING = re.compile(rb"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~](?<=[a-z0-9].)(?=[\x20\x09-\x0D]|$)")
+#: Characters that are words of their own to the tokenizer; the first with one id parts chunks that are encoded together.
+_PARTING = "\u00b2\u00b3\u00b9\u00bd\u00bc\u00be"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others for the letters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
 
 
 class Encoder(dict):
-    """Ids of white-space-free chunks, lower-cased and without ending punctuation: this tokenizer drops white space and case before it merges, so chunks are encoded alone.
+    """Ids of white-space-free chunks, lower-cased and without an ending mark: this tokenizer drops white space and case before it merges, so chunks are encoded alone.
 
+    The chunks of some texts that aren't remembered are encoded together, parted by a character that none of them holds.
+    Chunks of Latin letters in normal form are what the tokenizer would look up anyway, so they skip its normalising and cutting.
     A chunk is remembered from its second sight on, as most are seen once only. Both memories are bounded: chunks have two
     generations, of which a full one becomes the old one; marks of first sights are wiped once they are many.
     """
 
     LIMIT = 250_000
     MARKS = 1 << 22
+    #: Chunks encoded together.
+    TOGETHER = 4096
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
         self.marks, self.marked = bytearray(self.MARKS), 0
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        out = self.old.get(chunk)
-        if out is None:
-            out = array("H", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-            at = hash(chunk) % self.MARKS
-            if not self.marks[at]:
-                if self.marked >= self.MARKS // 4:
-                    self.marks, self.marked = bytearray(self.MARKS), 0
-                self.marks[at] = 1
-                self.marked += 1
-                return out
+        self.letters = _byte_letters()
+        alone = {x: self._encoded(x) for x in _PARTING}
+        self.parting, self.parting_id = next(((x, ids[0]) for x, ids in alone.items() if len(ids) == 1), (None, None))
+
+    def _encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _chunks_encoded(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        from unicodedata import is_normalized
+
+        merged, together = self.tokenizer.model.tokenize, []
+        for c in chunks:
+            t = c.decode("utf-8", "replace")
+            if t.isalpha() and max(t) < "\u0180" and t == t.lower() and is_normalized("NFC", t):
+                yield c, array("H", [x.id for x in merged(t if t.isascii() else c.decode("latin-1").translate(self.letters))]).tobytes()
+            elif self.parting is None or self.parting in t:
+                yield c, array("H", self._encoded(t)).tobytes()
+            else:
+                together.append((c, t))
+        for at in range(0, len(together), self.TOGETHER):
+            part = together[at : at + self.TOGETHER]
+            ids = np.array(self._encoded(f" {self.parting} ".join([t for _, t in part])), "<u2")
+            cuts = (2 * np.flatnonzero(ids == self.parting_id)).tolist()
+            raw = ids.tobytes()
+            yield from zip([c for c, _ in part], [raw[a:b] for a, b in zip([0, *(x + 2 for x in cuts)], [*cuts, len(raw)], strict=True)], strict=True)
+
+    def _remember(self, chunk: bytes, ids: bytes) -> None:
         if len(self) >= self.LIMIT:
             self.old = dict(self)
             self.clear()
-        self[chunk] = out
-        return out
+        self[chunk] = ids
+
+    def _seen_before(self, chunk: bytes) -> bool:
+        at = hash(chunk) % self.MARKS
+        if self.marks[at]:
+            return True
+        if self.marked >= self.MARKS // 4:
+            self.marks, self.marked = bytearray(self.MARKS), 0
+        self.marks[at] = 1
+        self.marked += 1
+        return False
+
+    def all_ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text. The collector of cycles rests meanwhile: there are none, and many small objects."""
+        gc.disable()
+        try:
+            return self._all_ids(texts)
+        finally:
+            gc.enable()
+
+    def _all_ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found, holes = [], []
+        for text in texts:
+            if b"<|" not in text:  # else it may hold a special token, which is told by case
+                text = _ENDING.sub(rb" \g<0>", text.lower())
+            chunks = text.split()
+            ids = list(map(self.get, chunks))
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                holes.append((ids, at, chunks[at]))
+            found.append(ids)
+        known: dict[bytes, bytes] = {}
+        for chunk in {x[2] for x in holes}:
+            ids = self.old.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+                self._remember(chunk, ids)
+        for chunk, ids in self._chunks_encoded(list({x[2] for x in holes} - known.keys())):
+            known[chunk] = ids
+            if self._seen_before(chunk):
+                self._remember(chunk, ids)
+        for ids, at, chunk in holes:
+            ids[at] = known[chunk]
+        return [np.frombuffer(b"".join(x), "<u2") for x in found]
 
     def ids(self, text: bytes) -> np.ndarray:
-        if b"<|" not in text:  # else it may hold a special token, which is told by case
-            text = _ENDING.sub(rb" \1", text.lower())
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2")
+        return self.all_ids([text])[0]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -104,8 +174,8 @@ def _tokenized(path: str, length: int, end: int):
         for b in slices(batches, 256):
             names = b.schema.names
             out = []
-            for d, version, text in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("version")).to_pylist(), texts_of(b), strict=True):
-                ids = np.append(encode.ids(text), np.uint16(end)).astype("<u2")
+            for d, version, own in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("version")).to_pylist(), encode.all_ids(texts_of(b)), strict=True):
+                ids = np.append(own, np.uint16(end)).astype("<u2")
                 for k in range(0, len(ids), length):
                     out.append((version, d, k, len(ids), ids[k : k + length].tobytes()))
             for k in range(0, len(out), 2000):
