@@ -8,7 +8,8 @@ the keys: equality needs no digest.
 
 Defined results: null counts as the empty text; of rows repeated with one doc_id
 one stays; a null doc_id is the smallest; an empty table gives an empty result;
-columns other than doc_id and text are ignored.
+very long texts are compared whole, round after round; columns other than doc_id
+and text are ignored and may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, texts_of
+from .common import keyed, least_row, restored, row_key, slices, stored, texts_of
 
 #: Bytes that the first round reads beside the length.
 HEAD = 24
@@ -78,11 +79,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, in the columns of docs."""
-    stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("version").alias("stay_version"))
-    rows = docs.withColumn("row_version", F.xxhash64("text"))
-    kept = rows.join(stay, rows.doc_id.eqNullSafe(stay.stay_id) & (rows.row_version == stay.stay_version), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row_version"]).select(*docs.columns)
+    """The rows of docs that stay, in the columns of docs. Of rows that share doc_id and text, the least by all columns stays."""
+    stay = exact_groups(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("version")))
+    return restored(keyed(docs).join(stay, "row_key", "left_semi").groupBy("row_key").agg(least_row(docs)), docs)
 
 
 ORACLE_SQL = f"""

@@ -8,8 +8,8 @@ then documents in key order, the last of them in part.
 
 Defined results: a null text has size 0; null is a source of its own and comes
 last; documents of size 0 take nothing; rows repeated with one doc_id are mixed
-as separate documents; an empty table gives an empty result. Only doc_id, text
-and source are read.
+as separate documents; very long texts are counted whole; an empty table gives an
+empty result. Only doc_id, text and source are read; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, md5_key, stored
+from .common import WORD, keyed, least_row, partitions, restored, row_key, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-#: Key ranges of each source. Ranges hold 1/4096 of a source, whatever its size.
+#: Key ranges of each source, at least; twice the shuffle partitions if that is more. The result is the same for any number.
 RANGES = 4096
 
 
@@ -37,6 +37,11 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def mix_key(doc_id: Column, text: Column) -> Column:
+    """Hash-random, and in DuckDB the same; rows of one id or without any are told apart by their texts."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":mix:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """(src, source_size) to the same with target: share of all sizes dealt by weight, none above most times its source, the excess dealt again.
 
@@ -54,16 +59,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return full.select("src", "source_size", F.least(F.col("cap"), F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, ranges: int = RANGES) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, ranges: int | None = None) -> DataFrame:
     """docs (doc_id, text, source) to (doc_id, version: xxhash64 of its text, size, source_size, target, taken)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), _source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), md5_key(F.col("doc_id"), "mix").alias("mix_key"))
+    ranges = ranges or max(RANGES, 2 * partitions(docs.sparkSession))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), _source_key(F.col("source")).alias("src"), n_words(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text")).alias("mix_key"))
     rows = stored(rows.withColumn("mix_range", F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")))  # texts are read once
     totals = rows.groupBy("src", "mix_range").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("src").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("src", "mix_range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("before_range"))
     sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     offsets = offsets.join(targets(sizes, weights, share, most), "src")
-    within = Window.partitionBy("src", "mix_range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "mix_range").orderBy("mix_key", "doc_id", "size", "version").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["src", "mix_range"])
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1))).cast("long")).otherwise(F.lit(0))
@@ -76,24 +82,25 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of docs: a document once for each epoch that takes it whole, and once more cut after the words that its last epoch takes.
 
-    Rows that repeat a doc_id and its text stand for one document that takes what they take together.
+    Rows that repeat a doc_id and its text stand for one document that takes what they take together, with the least of their other columns.
     """
-    taken = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(F.sum("taken").alias("mix_taken"), F.max("size").alias("mix_size"))
-    rows = docs.withColumn("mix_version", F.xxhash64("text")).dropDuplicates(["doc_id", "mix_version"])
-    out = rows.join(taken, rows.doc_id.eqNullSafe(taken.d) & (rows.mix_version == taken.v))
-    out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_epoch") - 1) * F.col("mix_size"))
-    cut = F.array_join(F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
-    out = out.withColumn("mix_cut", words < F.col("mix_size")).withColumn("text", F.when(F.col("mix_cut"), cut).otherwise(F.col("text")))
+    taken = mix(docs).filter("taken > 0").groupBy(row_key(F.col("doc_id").cast("long"), F.col("version"))).agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    out = keyed(docs).join(taken, "row_key").groupBy("row_key").agg(least_row(docs), F.max("taken").alias("taken"), F.max("size").alias("size"))
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
+    text = F.col("row")[f"c{docs.columns.index('text')}"]
+    cut = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
+    out = out.withColumn("is_cut", words < F.col("size")).withColumn("cut", F.when(F.col("is_cut"), cut).otherwise(text))
+    changed = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("mix_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("is_cut"), F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")[f"c{docs.columns.index('n_chars')}"])
+    return restored(out, docs, **changed)
 
 
 ORACLE_SQL = r"""
 WITH r AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS k,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix:' || md5(coalesce(text, ''))) AS k,
          CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src
   FROM documents),
 s AS (

@@ -12,8 +12,9 @@ padding.
 
 Defined results: a null text is empty, and its only id is the end; every id of
 every row lies in exactly one piece, so rows repeated with one doc_id are packed
-as often as they occur; an empty table gives an empty result; columns other than
-doc_id and text are ignored.
+as often as they occur, and texts of one doc_id in the order of their hashes, so
+that a task run again gives the same pieces; an empty table gives an empty
+result; columns other than doc_id and text are ignored and may have any names.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def _dealt(bounds: np.ndarray, coded):
             codes = get("code")
             spread = (get("version").to_numpy() + get("start").to_numpy()) % (len(bounds) + 1)
             shard = np.where(codes.is_null().to_numpy(zero_copy_only=False), spread, np.searchsorted(bounds, codes.fill_null(0).to_numpy(), "right"))
-            kept_names = ["doc_id", "start", "doc_tokens", "ids"]
+            kept_names = ["doc_id", "version", "start", "doc_tokens", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *map(get, kept_names)], ["shard", *kept_names])
 
     return run
@@ -365,6 +366,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
         seen = some.mapInArrow(coded, "version long, doc_id long, start long, doc_tokens long, ids binary, code long").filter("code is not null").select("code")
         seen = np.sort(np.array([r["code"] for r in seen.collect()], np.int64))  # eight bytes of each BOUNDS-th document
         bounds = np.unique(seen[len(seen) * np.arange(1, shards) // shards]) if len(seen) else bounds
-    dealt = ids.mapInArrow(_dealt(bounds, coded), "shard int, doc_id long, start long, doc_tokens long, ids binary")
-    dealt = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "doc_id", "start")
+    dealt = ids.mapInArrow(_dealt(bounds, coded), "shard int, doc_id long, version long, start long, doc_tokens long, ids binary")
+    dealt = dealt.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "doc_id", "version", "start")
     return dealt.mapInArrow(_packed(length, with_ids, df, n, tokens), _RESULT)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, slices, stored, texts_of, words_of
+from .common import keyed, least_row, mix64, partitions, restored, row_key, slices, stored, texts_of, words_of
 from .components import components
 
 SHINGLE = 3
@@ -172,8 +172,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs without near copies: one row of each component, in the columns of docs."""
-    stay = near_groups(docs).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("version").alias("stay_version")).distinct()
-    rows = docs.withColumn("row_version", F.xxhash64("text"))
-    kept = rows.join(stay, rows.doc_id.eqNullSafe(stay.stay_id) & (rows.row_version == stay.stay_version), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row_version"]).select(*docs.columns)
+    """docs without near copies: one row of each component, in the columns of docs. Of rows that share doc_id and text, the least by all columns stands for them."""
+    stay = near_groups(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("version")))
+    return restored(keyed(docs).join(stay, "row_key", "left_semi").groupBy("row_key").agg(least_row(docs)), docs)
