@@ -1,14 +1,21 @@
 """Merkle fixity audit of WARC records.
 
 Pages become WARC records; records lie in archive files in the order of their
-ids, at offsets summed within the file. Digests of records are hashed together
-by ordered offset ranges, ranges by file, files by groups of FANOUT, up to one
-root for each replica. If roots differ, only branches whose digests differ are
-descended, down to the corrupt or missing records.
-
-Defined results: null url and html count as empty; a null page_id is an id of
-its own, in file -1; rows with one page_id are told apart by the order of their
-digests; records that only the copy has are reported as extra; empty tables agree.
+ids, at offsets summed within the file. Each replica has a tree of its own, made
+from its own records and offsets: digests of records are hashed together by
+ordered offset ranges, ranges by groups of PARTS, those by file, files by groups
+of FANOUT, up to a root. If roots differ, only children of nodes whose digests
+differ are compared, level by level, down to the records of differing ranges.
+There, equal records of an id match wherever they lie; of the others, the k-th
+of an id in one replica is compared with the k-th in the other.
+
+Defined results: null url and html count as empty; records with a null page_id
+lie in files of negative numbers, by the first digits of their digests; rows
+with one page_id are ordered by their digests, and running sums are split by
+those digests' beginnings, so that a crowded id is no single task's; records that
+only the copy has are reported as extra, without a place in the original; very
+long pages are hashed whole; an empty table has no root, and two of them agree;
+columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import dropped, md5_key, stored
 
-#: Ids of one archive file, bytes of one offset range, children of an inner node.
-FILE, RANGE, FANOUT = 1024, 65_536, 16
+#: Ids of one archive file, bytes of one offset range, children of a node within a file, children of a node of files.
+FILE, RANGE, PARTS, FANOUT = 1024, 65_536, 1024, 16
+#: Files of records without an id; their numbers are -1 to -UNNAMED.
+UNNAMED = 4096
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -29,57 +38,98 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) to (page_id, copy: rank among rows of this id, length, sha)."""
-    r = pages.select(F.col("page_id").cast("long"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("sha"))
-    return r.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("sha")))
-
-
-def manifest(leaves: DataFrame) -> DataFrame:
-    """Adds file and offset: the sum of the lengths of earlier records of the file."""
-    filed = leaves.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)).cast("long"))
-    before = Window.partitionBy("file").orderBy("page_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    return filed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-
-
-def _joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One node for each value of keys: the digest of its children's digests in order, for the original (a) and the copy (b)."""
-    hashed = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), ",").cast("binary"), 256)
-    return rows.groupBy(*keys).agg(hashed("a").alias("a"), hashed("b").alias("b"))
+def manifest(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) to a row per record: page_id, length, sha, file, offset (the sum of the lengths of earlier records of the file)."""
+    r = pages.select(F.col("page_id").cast("long"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("r"))
+    r = r.select("page_id", F.octet_length("r").cast("long").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("sha"))
+    digits = F.conv(F.substring("sha", 1, 3), 16, 10).cast("long")
+    r = r.select("*", F.coalesce(F.floor(F.col("page_id") / FILE), -1 - digits).cast("long").alias("file"), F.struct("page_id", digits.alias("digits")).alias("part"))
+    parts = r.groupBy("file", "part").agg(F.sum("length").alias("in_part"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("file", "part").orderBy("sha").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("own", F.coalesce(F.sum("length").over(within), F.lit(0))).join(parts, ["file", "part"])
+    return r.select("page_id", "length", "sha", "file", (F.col("before") + F.col("own")).cast("long").alias("offset"))
+
+
+def _level(below: DataFrame, up_file: Column, up_node: Column, *order: str) -> DataFrame:
+    """The parents of below (replica, file, node, sha): the digest of each one's children in order. Adds to below's rows nothing but reads them once."""
+    children = F.array_sort(F.collect_list(F.struct(*order, "sha")))
+    label = lambda x: F.concat_ws(":", *[x[c].cast("string") for c in order], x["sha"])
+    hashed = F.sha2(F.array_join(F.transform(children, label), ",").cast("binary"), 256)
+    return below.groupBy("replica", up_file.alias("up_file"), up_node.alias("up_node")).agg(hashed.alias("sha")).select("replica", F.col("up_file").alias("file"), F.col("up_node").alias("node"), "sha")
+
+
+def _parents() -> list[tuple[Column, Column]]:
+    """(file, node) of the parents of ranges, of their groups, and of the groups of those."""
+    up = F.floor(F.col("node") / PARTS).cast("long")
+    return [(F.col("file"), up), (F.col("file"), up), (F.col("file"), F.lit(0).cast("long"))]
+
+
+def trees(*replicas: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, Column, Column]]]:
+    """Records of all replicas (replica, page_id, length, sha, file from 0, offset, node: the range), and the levels of their trees from the ranges up, each with its parents' columns. The last level has a row per replica that has records."""
+    leaves = None
+    for k, pages in enumerate(replicas):
+        one = manifest(pages).select(F.lit(k).alias("replica"), "page_id", "length", "sha", (F.col("file") + UNNAMED).alias("file"), "offset", F.floor(F.col("offset") / RANGE).cast("long").alias("node"))
+        leaves = one if leaves is None else leaves.unionByName(one)
+    leaves = stored(leaves)
+    now = stored(_level(leaves, F.col("file"), F.col("node"), "offset"))
+    levels, high = [], now.agg(F.max("file")).first()[0]
+    for up_file, up_node in _parents():
+        levels.append((now, up_file, up_node))
+        now = stored(_level(now, up_file, up_node, "file", "node"))
+    while high:
+        up_file, high = F.floor(F.col("file") / FANOUT).cast("long"), high // FANOUT
+        levels.append((now, up_file, F.col("node")))
+        now = stored(_level(now, up_file, F.col("node"), "file", "node"))
+    levels.append((now, None, None))
+    return leaves, levels
+
+
+def root(pages: DataFrame) -> str | None:
+    """The root of a replica's tree; None for an empty table."""
+    leaves, levels = trees(pages)
+    top = levels[-1][0].first()
+    for df in (leaves, *(x[0] for x in levels)):
+        dropped(df)
+    return top["sha"] if top else None
+
+
+def _differing(level: DataFrame) -> DataFrame:
+    """(file, node) of the nodes that the two replicas' trees have different digests of, or that one of them lacks."""
+    of = lambda k: F.max(F.when(F.col("replica") == k, F.col("sha")))
+    return level.groupBy("file", "node").agg(of(0).alias("a"), of(1).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node")
+
+
+def descend(levels: list[tuple[DataFrame, Column, Column]]) -> tuple[DataFrame, list[DataFrame]]:
+    """The differing ranges of two replicas' trees, and what each level compares: from the root down, the children of differing nodes only."""
+    compared = [levels[-1][0]]
+    bad = _differing(compared[0])
+    for level, up_file, up_node in levels[-2::-1]:
+        parents = bad.select(F.col("file").alias("up_file"), F.col("node").alias("up_node"))
+        children = level.select("*", up_file.alias("up_file"), up_node.alias("up_node")).join(parents, ["up_file", "up_node"], "left_semi")
+        compared.append(children)
+        bad = _differing(children)
+    return bad, compared
 
 
 def audit(original: DataFrame, copy: DataFrame) -> DataFrame:
     """Where copy differs from original: page_id, file, offset, length, damage (corrupt, missing, extra), original_sha256, copy_sha256."""
-    mine = manifest(digests(original))
-    other = digests(copy).select(F.col("page_id").alias("p"), F.col("copy").alias("n"), F.col("length").alias("copy_length"), F.col("sha").alias("copy_sha"))
-    both = stored(mine.join(other, mine.page_id.eqNullSafe(other.p) & (mine["copy"] == other.n), "full"))
-    leaves = both.filter("sha is not null").select("page_id", "copy", "file", "offset", "length", F.col("sha").alias("a"), F.coalesce("copy_sha", F.lit("missing")).alias("b"), F.floor(F.col("offset") / RANGE).alias("range"))
-    ranges = stored(_joined(leaves, ["file", "range"], "offset"))
-    low = ranges.agg(F.min("file")).first()[0] or 0  # nodes count from 0, so that groups of them end in one root
-    levels = [stored(_joined(ranges, ["file"], "range").select((F.col("file") - low).alias("node"), "a", "b"))]
-    while levels[-1].limit(2).count() > 1:
-        below = levels[-1].select(F.floor(F.col("node") / FANOUT).cast("long").alias("up"), F.col("node"), "a", "b")
-        levels.append(stored(_joined(below, ["up"], "node").select(F.col("up").alias("node"), "a", "b")))
-    bad = levels[-1].filter("a <> b").select("node")
-    for level in levels[-2::-1]:
-        bad = level.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(bad.select(F.col("node").alias("up")), "up", "left_semi").filter("a <> b").select("node")
-    bad_ranges = ranges.join(bad.select((F.col("node") + low).alias("file")), "file", "left_semi").filter("a <> b").select("file", "range")
-    found = leaves.join(bad_ranges, ["file", "range"], "left_semi").filter("a <> b")
-    found = found.select("page_id", "file", "offset", "length", F.when(F.col("b") == "missing", "missing").otherwise("corrupt").alias("damage"), F.col("a").alias("original_sha256"), F.when(F.col("b") != "missing", F.col("b")).alias("copy_sha256"))
-    extra = both.filter("sha is null").select(F.col("p").alias("page_id"), F.lit(None).cast("long").alias("file"), F.lit(None).cast("long").alias("offset"), F.col("copy_length").alias("length"), F.lit("extra").alias("damage"), F.lit(None).cast("string").alias("original_sha256"), F.col("copy_sha").alias("copy_sha256"))
-    return found.unionByName(extra)
-
-
-def roots(pages: DataFrame) -> tuple[str, str] | None:
-    """Both replicas' roots of an undamaged audit of pages against itself, or None for an empty table."""
-    mine = manifest(digests(pages)).select("file", "offset", F.col("sha").alias("a"), F.col("sha").alias("b"), F.floor(F.col("offset") / RANGE).alias("range"))
-    low = mine.agg(F.min("file")).first()[0] or 0
-    level = _joined(_joined(mine, ["file", "range"], "offset"), ["file"], "range").select((F.col("file") - low).alias("node"), "a", "b")
-    while level.limit(2).count() > 1:
-        level = stored(_joined(level.select(F.floor(F.col("node") / FANOUT).cast("long").alias("up"), "node", "a", "b"), ["up"], "node").select(F.col("up").alias("node"), "a", "b"))
-    top = level.first()
-    dropped(level)
-    return (top["a"], top["b"]) if top else None
+    leaves, levels = trees(original, copy)
+    bad, _ = descend(levels)
+    rows = leaves.join(bad, ["file", "node"], "left_semi")
+    rows = rows.select("*", F.struct("page_id", "sha").alias("same"), F.struct("page_id").alias("id"))
+    # of equal records of an id, as many as both have match; what one has more of is left
+    many = rows.groupBy("same").agg(*[F.count(F.when(F.col("replica") == k, 1)).alias(f"n{k}") for k in (0, 1)])
+    odd = rows.join(many.filter("n0 <> n1"), "same")
+    odd = odd.withColumn("k", F.row_number().over(Window.partitionBy("replica", "same").orderBy("offset"))).filter(F.col("k") > F.least("n0", "n1"))
+    # the k-th one left of an id, in each replica
+    odd = odd.withColumn("k", F.row_number().over(Window.partitionBy("replica", "id").orderBy("sha", "offset")))
+    mine = lambda c: F.max(F.when(F.col("replica") == 0, F.col(c)))
+    other = lambda c: F.max(F.when(F.col("replica") == 1, F.col(c)))
+    found = odd.groupBy("id", "k").agg((mine("file") - UNNAMED).alias("file"), mine("offset").alias("offset"), F.coalesce(mine("length"), other("length")).alias("length"), mine("sha").alias("original_sha256"), other("sha").alias("copy_sha256"))
+    damage = F.when(F.col("copy_sha256").isNull(), "missing").when(F.col("original_sha256").isNull(), "extra").otherwise("corrupt")
+    return found.select(F.col("id.page_id").alias("page_id"), "file", "offset", "length", damage.alias("damage"), "original_sha256", "copy_sha256")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -105,7 +155,7 @@ r AS (
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(other) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || other || chr(13) || chr(10) || chr(13) || chr(10) AS b
   FROM q),
 s AS (
-  SELECT page_id, k, CAST(coalesce(floor(page_id / 1024), -1) AS BIGINT) AS file, CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS original_sha256,
+  SELECT page_id, k, CAST(coalesce(floor(page_id / 1024), -1 - CAST('0x' || substr(sha256(a), 1, 3) AS BIGINT)) AS BIGINT) AS file, CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS original_sha256,
          CASE WHEN k <> '03' THEN sha256(b) END AS copy_sha256
   FROM r),
 t AS (

@@ -337,11 +337,41 @@ def test_fixity(spark):
     rows = [(k, f"http://h/{k}", f"<p>{k} é</p>" * (k % 50)) for k in range(3000)] + [(None, None, None), (5, "http://h/5", "twin")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     assert fixity.audit(pages, pages).count() == 0
-    assert fixity.roots(pages)[0] == fixity.roots(pages.repartition(7))[1]
+    assert fixity.root(pages) == fixity.root(pages.repartition(7))
     changed = [(a, b, (c or "") + "!" if a in (17, 2048) else c) for a, b, c in rows if a != 1500] + [(9000, "u", "new")]
     found = fixity.audit(pages, spark.createDataFrame(changed, "page_id long, url string, html string")).collect()
     assert {(r["page_id"], r["damage"]) for r in found} == {(17, "corrupt"), (2048, "corrupt"), (1500, "missing"), (9000, "extra")}
-    assert fixity.audit(pages.filter("false"), pages.filter("false")).count() == 0
+    nothing = pages.filter("false")
+    assert fixity.audit(nothing, nothing).count() == 0 and fixity.root(nothing) is None
+    assert {r["damage"] for r in fixity.audit(nothing, pages).collect()} == {"extra"}
+    assert fixity.audit(pages, nothing).filter("damage = 'missing'").count() == len(rows)
+
+
+def test_fixity_trees_are_each_replicas_own(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>" * (k % 90)) for k in range(4000)] + [(None, "u", f"unnamed {k}") for k in range(30)] + [(77, "v", f"again {k}") for k in range(3)]
+    schema = "page_id long, url string, html string"
+    make = lambda x: spark.createDataFrame(x, schema).repartition(3)
+    root = fixity.root(make(rows))
+    shifted = [(a, b, c.replace("<p>9</p>", "<p>9</p>z", 1) if a == 9 else c) for a, b, c in rows]
+    cases = {"extra": [*rows, (2500, "u", "more")], "missing": [r for r in rows if r[0] != 1200], "corrupt": shifted}
+    for damage, changed in cases.items():
+        _, levels = fixity.trees(make(rows), make(changed))
+        roots = {r["replica"]: r["sha"] for r in levels[-1][0].collect()}
+        assert roots[0] == root != roots[1]
+        _, compared = fixity.descend(levels)
+        ranges = levels[0][0].count()
+        assert compared[0].count() == 2 and compared[-1].count() < ranges / 2  # one file's ranges of some four
+        found = fixity.audit(make(rows), make(changed)).collect()
+        assert [r["damage"] for r in found] == [damage]
+    long = [(1, "u", "x" * 3_000_000), (2, None, None), (None, None, None), (None, None, None)]
+    found = fixity.audit(make(long), make([(1, "u", "x" * 2_999_999 + "y"), *long[1:3]])).collect()
+    assert sorted((str(r["page_id"]), r["damage"]) for r in found) == [("1", "corrupt"), ("None", "missing")]
+
+
+def test_fixity_ignores_other_columns(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "text" * k, "x", "y", "z") for k in range(50)], "page_id int, url string, html string, sha string, node string, replica string")
+    found = fixity.audit(pages, fixity.damaged(pages).unionByName(pages.select("page_id", "url", "html").filter("page_id = 3"))).collect()
+    assert ("extra", 3) in {(r["damage"], r["page_id"]) for r in found}
 
 
 def test_language_model(docs, nothing):
