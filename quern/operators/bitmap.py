@@ -41,15 +41,34 @@ def intersect(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return parts.groupBy(*(keys or []), "bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
 
 
+def contains_value(bitmap: Column, value: Column | int) -> Column:
+    """Whether a stored bitmap has the value's bit; the bitmap must be of the value's bucket. Null if either is null."""
+    bit = F.bitmap_bit_position(F.lit(value).cast("long") if isinstance(value, int) else value.cast("long"))
+    byte = F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
+    return F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), (bit % 8).cast("int")) == 1
+
+
 def contains(df: DataFrame, column: str, key_set: DataFrame) -> DataFrame:
-    """Rows of df whose value is in the set (bucket, bitmap); null is in none."""
+    """Rows of df whose value is in the set (bucket, bitmap); null is in none.
+
+    The set is cut into its bytes, those that have a bit, so that the join has a key for every eight values.
+    """
     _checked(df, column)
+    at = lambda i: F.substring(F.col("bitmap"), i + 1, F.lit(1))
+    parts = key_set.select("bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.length("bitmap") - 1)).alias("i"))
+    parts = parts.select(F.col("bucket").alias("bucket__"), F.col("i").cast("long").alias("i__"), F.ascii(F.decode(at(F.col("i")), "ISO-8859-1")).alias("byte__")).filter("byte__ <> 0")
     x = F.col(column).cast("long")
     bit = F.bitmap_bit_position(x)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("bucket__", F.bitmap_bucket_number(x)).join(key_set.select(F.col("bucket").alias("bucket__"), "bitmap"), "bucket__")
-    return joined.filter(_bit(byte, bit) == 1).select(*df.columns)
-
-
-def _bit(byte: Column, bit: Column) -> Column:
-    return F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2
+    keyed = df.withColumn("bucket__", F.bitmap_bucket_number(x)).withColumn("i__", F.floor(bit / 8).cast("long")).withColumn("bit__", (bit % 8).cast("int"))
+    return keyed.join(parts, ["bucket__", "i__"]).filter(F.getbit("byte__", F.col("bit__")) == 1).select(*df.columns)
+
+
+def count_distinct_of(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """keys and n_<column> for each column, in one pass: what count(DISTINCT ..) of several columns gives, without a row per combination."""
+    for c in columns:
+        _checked(df, c)
+    keys = keys or []
+    values = df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("long") for c in columns])).alias("of__", "x__"))
+    blocks = values.groupBy(*keys, "of__", F.bitmap_bucket_number("x__").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x__")).alias("bitmap"))
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("of__") == k, F.bitmap_count("bitmap"))), F.lit(0)).cast("long")
+    return blocks.groupBy(*keys).agg(*[count(k).alias(f"n_{c}") for k, c in enumerate(columns)])

@@ -25,6 +25,18 @@ def range_join(left: DataFrame, right: DataFrame, point: str, start: str, end: s
     return out.select(*[l[c] for c in left.columns], *[r[c] for c in right.columns if c not in on])
 
 
+def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of left WHERE column NOT IN (SELECT other FROM right), by SQL's rules: a null among right's keys leaves none, a null in left stays only if right is empty.
+
+    Keys are made distinct and both sides shuffled by them, whatever their size; what right holds at all is told by one row.
+    """
+    keys = right.select(F.col(other).alias("key__")).distinct()
+    seen = right.agg(F.count(F.lit(1)).alias("rows"), F.count(other).alias("keys"))
+    rows, with_key = seen.select("rows").scalar(), seen.select("keys").scalar()
+    found = left.join(keys.hint("merge"), left[column] == keys["key__"], "left_anti")
+    return found.filter((rows == with_key) & (F.col(column).isNotNull() | (rows == 0)))
+
+
 def asof_join(left: DataFrame, right: DataFrame, time: str, on: list[str], values: list[str], strict: bool = False) -> DataFrame:
     """left with the values of the last right row of the same keys at or before its time (strict: before), null if there is none.
 

@@ -52,6 +52,18 @@ def bitmap_contains(spark, d):
     return bitmap.contains(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", keys).select("o_orderkey")
 
 
+@query("SELECT c_mktsegment, count(*) FILTER (c_nationkey = 3) > 0 AS has_three, count(*) FILTER (c_nationkey = 300) > 0 AS has_other FROM customer GROUP BY c_mktsegment")
+def bitmap_contains_value(spark, d):
+    sets = bitmap.bitmaps(table(spark, d, "customer"), "c_nationkey", ["c_mktsegment"])
+    sets = sets.filter(F.col("bucket") == F.bitmap_bucket_number(F.lit(3).cast("long")))  # 300 is of the same one
+    return sets.select("c_mktsegment", bitmap.contains_value(F.col("bitmap"), 3).alias("has_three"), bitmap.contains_value(F.col("bitmap"), 300).alias("has_other"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_l_orderkey, count(DISTINCT l_suppkey) AS n_l_suppkey FROM lineitem GROUP BY l_returnflag")
+def bitmap_count_distinct_of_several(spark, d):
+    return bitmap.count_distinct_of(table(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], ["l_returnflag"])
+
+
 @query("""
 SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS either,
        (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS both_sets""")
@@ -123,9 +135,34 @@ def bit_aggregates(spark, d):
 @query("""
 SELECT user_id, first(event_type ORDER BY ts, event_id) AS first_type, last(event_type ORDER BY ts, event_id) AS last_type FROM events GROUP BY user_id""")
 def first_last(spark, d):
+    at = F.struct("ts", "event_id")
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"))
+
+
+@query("""
+SELECT DISTINCT user_id, first_value(t) OVER w AS opened, last_value(t IGNORE NULLS) OVER w AS last_known, nth_value(t, 2 IGNORE NULLS) OVER w AS second_known
+FROM (SELECT user_id, ts, event_id, nullif(event_type, 'click') AS t FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def window_values_ignoring_nulls(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    e = table(spark, d, "events").select("user_id", F.first("event_type").over(w).alias("first_type"), F.last("event_type", ignorenulls=True).over(w).alias("last_type"))
-    return e.distinct()
+    e = table(spark, d, "events").withColumn("t", F.nullif(F.col("event_type"), F.lit("click")))
+    return e.select("user_id", F.first("t").over(w).alias("opened"), F.last("t", ignorenulls=True).over(w).alias("last_known"), F.nth_value("t", 2, ignoreNulls=True).over(w).alias("second_known")).distinct()
+
+
+@query("SELECT event_id, lead(event_id, 2) OVER w AS two_on, lag(event_id, 1, -1) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def window_negative_offsets(spark, d):
+    """lag by -2 looks ahead, lead by -1 back."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", F.lag("event_id", -2).over(w).alias("two_on"), F.lead("event_id", -1, -1).over(w).alias("before"))
+
+
+@query("SELECT CASE WHEN k = 1 THEN 'nan' WHEN k = 2 THEN 'zero' ELSE 'one' END AS kind, count(*) AS n FROM (SELECT CASE WHEN n_nationkey % 4 = 0 THEN 1 WHEN n_nationkey % 4 = 3 THEN 3 ELSE 2 END AS k FROM nation) GROUP BY k")
+def float_keys(spark, d):
+    """NaN equals itself as a key, and -0.0 equals 0.0."""
+    m = F.col("n_nationkey") % 4
+    x = F.when(m == 0, F.lit(float("nan"))).when(m == 1, F.lit(0.0)).when(m == 2, F.lit(-0.0)).otherwise(F.lit(1.0))
+    groups = table(spark, d, "nation").groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.select(F.when(F.isnan("x"), "nan").when(F.col("x") == 0, "zero").otherwise("one").alias("kind"), "n")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

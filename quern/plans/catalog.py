@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import aggregate_queries, custom_queries, process_queries, relational_queries, scalar_queries  # noqa: E402, F401
+from . import aggregate_queries, custom_queries, process_queries, relational_queries, scalar_queries, source_queries  # noqa: E402, F401

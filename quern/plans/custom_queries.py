@@ -46,8 +46,8 @@ def array_frequencies(spark, d):
 @query("SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0::DOUBLE AS hours FROM events GROUP BY user_id")
 def sql_functions(spark, d):
     registry.register_sql(spark)
-    table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).createOrReplaceTempView("quern_spans")
-    return spark.sql("SELECT user_id, hours_between(a, b) AS hours FROM quern_spans")
+    spans = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return spark.sql("SELECT user_id, hours_between(a, b) AS hours FROM {spans}", spans=spans)
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
@@ -67,6 +67,24 @@ def dictionary_filter_map(spark, d):
     return names.map(F.upper).decode(kept, "code", "shouted").select("event_id", "shouted")
 
 
+@query("SELECT upper(event_type) AS shouted, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
+def dictionary_transparent(spark, d):
+    """Filter, function and groups on codes, without a call per step."""
+    e = dictionary.Encoded.of(table(spark, d, "events").select("event_type"), "event_type")
+    out = e.where("event_type", lambda v: v != "error").group_by("event_type")(F.count(F.lit(1)).alias("n"))
+    return out.with_function("shouted", "upper", "event_type").decoded().df.select("shouted", "n")
+
+
+@query("SELECT user_id, list(event_type ORDER BY ts, event_id) AS trace FROM events GROUP BY user_id")
+def dictionary_arrays(spark, d):
+    """Arrays to codes and back."""
+    e = table(spark, d, "events")
+    names = dictionary.Dictionary.of(e, "event_type")
+    traces = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("t"))
+    coded = names.encode_array(traces, "t", "codes").drop("t")
+    return names.decode_array(coded, "codes", "trace").select("user_id", "trace")
+
+
 @query("""
 SELECT user_id, ['START'] || list(event_type ORDER BY ts, event_id) || ['END'] AS trace FROM events GROUP BY user_id""")
 def dictionary_start_end(spark, d):
@@ -109,6 +127,15 @@ def stream_daily_totals(spark, d):
     return batches.daily_totals(spark, d)
 
 
+@query("""
+SELECT event_type, day, count(*) AS n, sum(value) AS total FROM (
+  SELECT event_type, value, time_bucket(INTERVAL '1 day', ts) - k * INTERVAL 1 DAY AS day FROM events, range(2) AS r(k))
+GROUP BY 1, 2""")
+def stream_sliding_totals(spark, d):
+    """Windows of two days that begin every day: each event counts in two."""
+    return batches.daily_totals(spark, d, "2 days", "1 day")
+
+
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
 def top_k_per_group(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")

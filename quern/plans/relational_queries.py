@@ -63,16 +63,19 @@ def join_left_anti(spark, d):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def join_null_aware_anti(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("quern_part")
-    table(spark, d, "lineitem").createOrReplaceTempView("quern_lineitem")
-    return spark.sql("SELECT p_partkey FROM quern_part WHERE p_partkey NOT IN (SELECT l_partkey FROM quern_lineitem WHERE l_quantity > 49)")
+    """NOT IN without the broadcast that Spark plans for it at any size."""
+    return joins.not_in(table(spark, d, "part").select("p_partkey"), "p_partkey", table(spark, d, "lineitem").filter("l_quantity > 49"), "l_partkey")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN r_regionkey > 2 THEN r_regionkey END FROM region)")
+def join_not_in_with_null(spark, d):
+    keys = table(spark, d, "region").select(F.when(F.col("r_regionkey") > 2, F.col("r_regionkey")).alias("k"))
+    return joins.not_in(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", keys, "k")
 
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) OR c_acctbal > 5000 AS active FROM customer")
 def join_existence(spark, d):
-    table(spark, d, "customer").createOrReplaceTempView("quern_customer")
-    table(spark, d, "orders").createOrReplaceTempView("quern_orders")
-    return spark.sql("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM quern_orders) OR c_acctbal > 5000 AS active FROM quern_customer")
+    return spark.sql("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM {orders}) OR c_acctbal > 5000 AS active FROM {customer}", customer=table(spark, d, "customer"), orders=table(spark, d, "orders"))
 
 
 @query("SELECT r_name, n_name, count(*) AS n FROM region, nation, supplier WHERE r_regionkey = n_regionkey AND n_nationkey = s_nationkey GROUP BY r_name, n_name")
@@ -167,14 +170,14 @@ def distinct_rows(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
 
 
-@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE vec_id < 20")
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
 def explode_array(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id < 20").select("vec_id", F.explode("embedding").alias("x"))
+    return table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
 
 
-@query("SELECT vec_id, i - 1 AS pos, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id < 20)")
+@query("SELECT vec_id, i - 1 AS pos, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def posexplode_array(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""
@@ -197,9 +200,9 @@ def inline_structs(spark, d):
     return table(spark, d, "region").select(F.inline(rows))
 
 
-@query("SELECT p_partkey AS a, p_size AS b FROM part WHERE p_partkey <= 50 UNION ALL SELECT p_size, NULL FROM part WHERE p_partkey <= 50")
+@query("SELECT p_partkey AS a, p_size AS b FROM part UNION ALL SELECT p_size, NULL FROM part")
 def stack_rows(spark, d):
-    return table(spark, d, "part").filter("p_partkey <= 50").select(F.stack(F.lit(2), F.col("p_partkey"), F.col("p_size"), F.col("p_size").cast("long")).alias("a", "b")).select("a", F.col("b").cast("int").alias("b"))
+    return table(spark, d, "part").select(F.stack(F.lit(2), F.col("p_partkey"), F.col("p_size"), F.col("p_size").cast("long")).alias("a", "b")).select("a", F.col("b").cast("int").alias("b"))
 
 
 @query("""
@@ -211,9 +214,9 @@ def unnest_arrays(spark, d):
     return n.select("n_nationkey", custom.unnest(F.col("i"), F.col("a"), F.col("b")).alias("pos", "left_word", "right_word")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 200")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_tuple(spark, d):
-    return table(spark, d, "events").filter("event_id < 200").select("event_id", F.json_tuple("props", "k").alias("k"))
+    return table(spark, d, "events").select("event_id", F.json_tuple("props", "k").alias("k"))
 
 
 @query("SELECT r_regionkey, r_name AS name, lower(r_name) AS low FROM region")
@@ -222,10 +225,12 @@ def struct_edits(spark, d):
     return table(spark, d, "region").select(s.withField("low", F.lower("r_name")).dropFields("extra").alias("s")).select("s.*")
 
 
-@query("SELECT count(*) AS n, count(*) AS distinct_ids, true AS one_file FROM nation")
+@query("SELECT n_nationkey, 'nation' AS of_metadata, 'nation' AS of_function, 1 AS rows_of_id FROM nation")
 def metadata_columns(spark, d):
-    n = table(spark, d, "nation").select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), F.spark_partition_id().alias("p"))
-    return n.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i").alias("distinct_ids"), (F.count_distinct("f") == 1).alias("one_file"))
+    """The table that each row's file belongs to, by either way; ids made for rows are distinct."""
+    name = lambda c: F.regexp_extract(c, r"([a-z]+)\.parquet", 1)
+    n = table(spark, d, "nation").select("n_nationkey", name(F.col("_metadata.file_path")).alias("of_metadata"), name(F.input_file_name()).alias("of_function"), F.monotonically_increasing_id().alias("i"))
+    return n.groupBy("n_nationkey", "of_metadata", "of_function").agg(F.count_distinct("i").cast("int").alias("rows_of_id"))
 
 
 @query("SELECT o_orderkey, o_totalprice, o_totalprice / (SELECT avg(o_totalprice) FROM orders) AS ratio FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
@@ -245,6 +250,19 @@ def repartitioned(spark, d):
     return table(spark, d, "lineitem").select("l_returnflag", "l_orderkey").repartitionByRange("l_orderkey").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def random_columns(spark, d):
+    """Seeded random columns: uniform and normal."""
+    return table(spark, d, "orders").select("o_orderkey", F.rand(7).alias("uniform"), F.randn(7).alias("normal"))
+
+
+@query("SELECT c_custkey, c_name AS checked, true AS held FROM customer")
+def assertions(spark, d):
+    """assert_true is null where its condition holds; raise_error is reached by no row."""
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.when(F.col("c_custkey") >= 0, F.col("c_name")).otherwise(F.raise_error(F.lit("no key")).cast("string")).alias("checked"), F.assert_true(F.col("c_custkey") >= 0, "no key").isNull().alias("held"))
+
+
 @query()
 def sampled(spark, d):
     """A sampling operator: about a tenth of the rows, by a fixed seed."""
