@@ -9,16 +9,22 @@ from .common import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger neighbours (large) or its smaller ones and itself (small) to the least of them."""
+    """Links each node's larger neighbours (large) or its smaller ones and itself (small) to the least of them.
+
+    The leasts are stored, so that the join meets two plain exchanges, of which adaptive execution splits a hub's edges.
+    """
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.join(least, "a").filter("b > a").select(F.col("b").alias("hi"), F.col("m").alias("lo"))
+        least = stored(least)
+        out = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("hi"), F.col("m").alias("lo"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).unionByName(least.select(F.col("a").alias("hi"), F.col("m").alias("lo")))
-    return out.filter("hi <> lo").select(F.greatest("hi", "lo").alias("a"), F.least("hi", "lo").alias("b")).distinct()
+        least = stored(down.groupBy("a").agg(F.min("b").alias("m")))
+        out = down.join(least.hint("merge"), "a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).unionByName(least.select(F.col("a").alias("hi"), F.col("m").alias("lo")))
+    out = stored(out.filter("hi <> lo").select(F.greatest("hi", "lo").alias("a"), F.least("hi", "lo").alias("b")).distinct())
+    dropped(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     signed = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     mark = signed(now)
     while mark[0]:
-        after = stored(_star(_star(now, True), False))
+        large = _star(now, True)
+        after = _star(large, False)
         dropped(now)
+        dropped(large)
         now, last, mark = after, mark, signed(after)
         if mark == last:
             break

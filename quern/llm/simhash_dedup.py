@@ -11,7 +11,8 @@ not all pairs; components follow from the links.
 
 Defined results: a null text is empty; no words give fingerprint zero, linked
 like any other; a null doc_id is never the smallest of a component unless alone;
-rows repeated with one doc_id each give a row; other columns are ignored.
+rows repeated with one doc_id each give a row; very long texts are read whole; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ RADIUS = 3
 SEED = 42
 #: Slots of at most so many fingerprints compare all pairs; larger ones grow a forest.
 SMALL = 12
-#: Slots above this are split by the bytes of the other segment first.
+#: Slots above this are split by the bytes of the other segment first. Like SMALL it changes the cost only: links within
+#: 3 bits keep one of 4 bytes alike, so each is found in some part, and a forest connects what all pairs would.
 LARGE = 4096
+#: Table rows that a task holds at a time, besides those of a slot that has more.
+HELD = 500_000
 
 
 def fingerprint_array(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -116,17 +120,25 @@ def _grown(left: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among the fingerprints that share a slot, of all slots of a partition."""
-    keys, fps = [], []
+    """Links among the fingerprints that share a slot. Rows come sorted by slot; some whole slots at a time are in memory."""
+    keys, fps, held = [], [], 0
     for b in batches:
-        keys.append(b.column(b.schema.names.index("key")).to_numpy(zero_copy_only=False).view(np.uint64))
-        fps.append(b.column(b.schema.names.index("fp")).to_numpy(zero_copy_only=False).view(np.uint64))
-    if not keys:
-        return
-    key, fp = np.concatenate(keys), np.concatenate(fps)
-    del keys, fps
-    order = np.argsort(key)
-    key, fp = key[order], fp[order]
+        key = b.column(b.schema.names.index("key")).to_numpy(zero_copy_only=False).view(np.uint64)
+        fp = b.column(b.schema.names.index("fp")).to_numpy(zero_copy_only=False).view(np.uint64)
+        if keys and len(key) and held + len(key) > HELD and keys[0][0] != key[-1]:
+            key, fp = np.concatenate([*keys, key]), np.concatenate([*fps, fp])
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1  # the last slot may go on
+            yield from _slots(key[:cut], fp[:cut])
+            key, fp, keys, fps, held = key[cut:], fp[cut:], [], [], 0
+        keys.append(key.copy())
+        fps.append(fp.copy())
+        held += len(key)
+    if held:
+        yield from _slots(np.concatenate(keys), np.concatenate(fps))
+
+
+def _slots(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links within each of some whole slots, sorted by key."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
     a, b = [], []
@@ -154,7 +166,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """fps (fp long) to links (a, b) that connect all fingerprints within the radius of each other."""
     parts = partitions(fps.sparkSession)
-    return fps.select("fp").mapInArrow(_filed(parts), "part int, key long, fp long").repartitionById(parts, F.col("part")).mapInArrow(_linked, "a long, b long")
+    filed = fps.select("fp").repartition(parts, "fp").mapInArrow(_filed(parts), "part int, key long, fp long")
+    return filed.repartitionById(parts, F.col("part")).sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -164,9 +177,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     distinct = rows.groupBy("fp").agg(first.alias("first"), F.min(F.struct("doc_id", "version")).alias("any"))
     found = components(fingerprint_links(distinct))
     labelled = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "any", "first", F.coalesce("root", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.coalesce(F.min("first"), F.min("any")).alias("best"))
-    by_fp = labelled.join(least, "label").select("fp", "best")
-    out = rows.join(by_fp, "fp")
+    labelled = stored(labelled)
+    least = stored(labelled.groupBy("label").agg(F.coalesce(F.min("first"), F.min("any")).alias("best")))  # tables, so that adaptive execution splits a crowded label or fingerprint
+    by_fp = stored(labelled.join(least.hint("merge"), "label").select("fp", "best"))
+    out = rows.join(by_fp.hint("merge"), "fp")
     kept = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.version") == F.col("version"))
     return out.select("doc_id", "version", "fp", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 

@@ -9,8 +9,9 @@ overlapping windows merge into maximal removal intervals.
 
 Defined results: a null text has no words; a document shorter than the window
 loses nothing; repeated rows (same doc_id and text) count as two places, so each
-loses all its windows; rows with a null doc_id are processed like any other;
-columns other than doc_id and text are ignored.
+loses all its windows; rows with a null doc_id are processed like any other; very
+long texts are read whole; an empty table gives an empty result; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ CHUNK = 1 << 20
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
-_ENTRY = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary()), ("places", pa.binary())])
+#: Hash places that a range holds on average; a task counts range after range, so its memory doesn't grow with the corpus.
+RANGE = 8 << 20
+
+_ENTRY = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary()), ("places", pa.binary())])
 _REPLY = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("places", pa.binary())])
 _PLACE = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("places", pa.binary())])
 
@@ -106,8 +110,9 @@ def _batches(rows: list[tuple], schema: pa.Schema, step: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + step], strict=True), schema, strict=True)], schema=schema)
 
 
-def _mapper(window: int, parts: int):
-    """Rows of two kinds: of each chunk, its documents and the places known to repeat; and for each part, hashes with their places in the chunk (none if known)."""
+def _mapper(window: int, parts: int, each: int):
+    """Rows of two kinds: of each chunk, its documents and the places known to repeat; and for each range of hashes, each of them to a part, hashes with their places in the chunk (none if known)."""
+    ranges = parts * each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,17 +132,17 @@ def _mapper(window: int, parts: int):
             first = np.zeros(len(hi), bool)  # one of each hash that repeats here
             first[order[~np.concatenate([[False], same])]] = True
             first &= known
-            yield from _batches([(chunk % parts, chunk, z.compress(docs), None, None, z.compress(_gaps(np.flatnonzero(known))))], _ENTRY, 1)
-            part = ((hi >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)  # a range of hashes each
+            yield from _batches([(chunk % parts, -1, chunk, z.compress(docs), None, None, z.compress(_gaps(np.flatnonzero(known))))], _ENTRY, 1)
+            part = ((hi >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
             for plain in (True, False):
                 pick = np.flatnonzero(~known if plain else first)
                 pick = pick[np.argsort(part[pick], kind="stable")]
-                cuts = np.searchsorted(part[pick], np.arange(parts + 1))
+                cuts = np.searchsorted(part[pick], np.arange(ranges + 1))
                 rows = []
-                for k in range(parts):
+                for k in range(ranges):
                     own = pick[cuts[k] : cuts[k + 1]]
                     if len(own):
-                        rows.append((k, chunk, None, hi[own].tobytes(), lo[own].tobytes(), _gaps(own) if plain else None))
+                        rows.append((k // each, k, chunk, None, hi[own].tobytes(), lo[own].tobytes(), _gaps(own) if plain else None))
                 yield from _batches(rows, _ENTRY, 64)
 
         total = 0
@@ -159,25 +164,33 @@ def _mapper(window: int, parts: int):
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of hashes: the places of those met more than once, by chunk. Rows about a chunk's documents pass."""
+    """Of one range of hashes after another: the places of those met more than once, by chunk. Rows about a chunk's documents, which come first, pass."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=3)
-    chunks, sizes, his, los, ats = [], [], [], [], []
+    now, held = None, ([], [], [], [], [])
     for batch in batches:
-        for r in batch.select(["chunk", "docs", "hi", "lo", "places"]).to_pylist():
+        for r in batch.select(["range", "chunk", "docs", "hi", "lo", "places"]).to_pylist():
             if r["hi"] is None:
                 yield from _batches([(r["chunk"], r["docs"], r["places"])], _REPLY, 1)
                 continue
+            if r["range"] != now:
+                yield from _counted(z, *held)
+                now, held = r["range"], ([], [], [], [], [])
+            chunks, sizes, his, los, ats = held
             his.append(np.frombuffer(r["hi"], np.uint64))
             los.append(np.frombuffer(r["lo"], np.uint16))
             ats.append(np.full(len(his[-1]), -1, np.int32) if r["places"] is None else _ungapped(r["places"]).astype(np.int32))
             chunks.append(r["chunk"])
             sizes.append(len(his[-1]))
+    yield from _counted(z, *held)
+
+
+def _counted(z, chunks: list, sizes: list, his: list, los: list, ats: list) -> Iterator[pa.RecordBatch]:
     if not his:
         return
     hi, lo, at = np.concatenate(his), np.concatenate(los), np.concatenate(ats)
-    del his, los, ats
+    his.clear(), los.clear(), ats.clear()
     order, same = _repeats(hi, lo)
     hit = np.zeros(len(hi), bool)
     hit[order] = _either(same)
@@ -264,8 +277,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_words, n_removed, kept_sha256, kept_text, removed: word intervals, end exclusive)."""
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-    entries = rows.mapInArrow(_mapper(window, parts), "part int, chunk long, docs binary, hi binary, lo binary, places binary")
-    replies = entries.repartitionById(parts, F.col("part")).mapInArrow(_counter, "chunk long, docs binary, places binary")
+    words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # roughly
+    each = max(1, -(-words // (RANGE * parts)))
+    entries = rows.mapInArrow(_mapper(window, parts, each), "part int, range int, chunk long, docs binary, hi binary, lo binary, places binary")
+    replies = entries.repartitionById(parts, F.col("part")).sortWithinPartitions("range").mapInArrow(_counter, "chunk long, docs binary, places binary")
     replies = replies.repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int")).sortWithinPartitions("chunk")
     found = replies.mapInArrow(_collector, "doc_id long, version long, places binary")
     found = found.groupBy("doc_id", "version").agg(F.collect_set("places").alias("places")).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "places")  # one each, but for repeated rows

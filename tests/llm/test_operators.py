@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import corpus, frame, words
+from pyspark.sql import functions as F
 
-from quern.llm import components, exact_dedup, fingerprints, fixity, language_model, mixing, packing, pii, simhash_dedup, substring_dedup, toxicity
+from quern.llm import common, components, exact_dedup, fingerprints, fixity, language_model, mixing, packing, pii, simhash_dedup, substring_dedup, toxicity
 
 ROWS = corpus()
 
@@ -32,7 +33,7 @@ def multiset(rows):
     return Counter(map(repr, rows))
 
 
-def test_substring_dedup(docs, nothing):
+def test_substring_dedup(docs, nothing, monkeypatch):
     n = 35
     seqs = [words(r[1]) for r in ROWS]
     seen = Counter(tuple(w[i : i + n]) for w in seqs for i in range(len(w) - n + 1))
@@ -48,6 +49,29 @@ def test_substring_dedup(docs, nothing):
     assert multiset(tuple(r) for r in found) == multiset(expected)
     assert sum(r["n_removed"] for r in found) > 9000
     assert substring_dedup.remove_repeats(nothing).count() == 0
+    for size in (2000, 300):  # more ranges than parts
+        monkeypatch.setattr(substring_dedup, "RANGE", size)
+        monkeypatch.setattr(substring_dedup, "CHUNK", 3000)
+        again = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert multiset(tuple(r) for r in again) == multiset(expected)
+
+
+def test_substring_counting_holds_one_range_at_a_time(monkeypatch):
+    """Rows of a part, counted range by range: what is in memory at once doesn't grow with the number of ranges."""
+    most = []
+    real = substring_dedup._counted
+
+    def watched(z, chunks, sizes, *rest):
+        most.append(sum(sizes))
+        return real(z, chunks, sizes, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_counted", watched)
+    r = np.random.default_rng(0)
+    for ranges in (2, 20):
+        most.clear()
+        rows = [(0, k, c, None, r.integers(0, 1 << 62, 500).astype(np.uint64).tobytes(), r.integers(0, 9, 500).astype(np.uint16).tobytes(), substring_dedup._gaps(np.arange(500))) for k in range(ranges) for c in range(3)]
+        list(substring_dedup._counter(substring_dedup._batches(rows, substring_dedup._ENTRY, 7)))
+        assert max(most) == 1500
 
 
 def test_substring_intervals(spark):
@@ -323,8 +347,9 @@ def test_links_of_a_crowded_slot(spark, monkeypatch):
     r = np.random.default_rng(3)
     low = r.integers(0, 1 << 12, 300)  # many in one slot of the upper half
     fps = sorted({int(x) | (0xABCD1234 << 32) for x in low} | {int(x) | (0xABCD1235 << 32) for x in low[:50]} | {int.from_bytes(r.bytes(8), "big") >> 1 for _ in range(200)})
-    for large in (simhash_dedup.LARGE, 20):
+    for large, held in ((simhash_dedup.LARGE, simhash_dedup.HELD), (20, 50)):
         monkeypatch.setattr(simhash_dedup, "LARGE", large)
+        monkeypatch.setattr(simhash_dedup, "HELD", held)
         links = simhash_dedup.fingerprint_links(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long"))
         root = {r["node"] % 2**64: r["root"] for r in components.components(links).collect()}
         label = brute_components(fps)
@@ -341,6 +366,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_are_read_slot_by_slot(monkeypatch):
+    """Whole slots arrive together, and no more than some at a time."""
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(simhash_dedup, "HELD", 100)
+    monkeypatch.setattr(simhash_dedup, "_slots", lambda key, fp: seen.append(key) or iter(()))
+    key = np.sort(np.random.default_rng(5).integers(0, 60, 3000)).astype(np.int64)
+    batches = [pa.RecordBatch.from_pydict({"key": key[k : k + 40], "fp": key[k : k + 40]}) for k in range(0, 3000, 40)]
+    list(simhash_dedup._linked(iter(batches)))
+    assert np.concatenate(seen).tolist() == key.tolist()
+    assert all(a[-1] != b[0] for a, b in zip(seen, seen[1:], strict=False)) and max(map(len, seen)) < 250
+
+
+def test_a_hub_is_split(spark):
+    """A star of 100,000 leaves: adaptive execution may split the hub's edges, as both sides of the join are plain exchanges."""
+    edges = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    found = components.components(edges)
+    assert found.groupBy("root").count().collect()[0]["count"] == 100_001
+    plan = edges.join(common.stored(edges.groupBy("b").agg(F.min("a").alias("m"))).hint("merge"), "b")._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
