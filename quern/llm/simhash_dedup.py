@@ -9,6 +9,10 @@ differ in one bit, one has it set). Matches are verified over all 64 bits. A
 table slot that many fingerprints share yields a spanning forest of its links,
 not all pairs; components follow from the links.
 
+The pipeline's stage compares whole texts by wider fingerprints (see
+distinct_documents): 128 bits of five-word shingles, eight segments of 24 bits,
+and balls of radius 2 about them.
+
 Defined results: a null text is empty; no words give fingerprint zero, linked
 like any other; a null doc_id is never the smallest of a component unless alone;
 rows repeated with one doc_id each give a row; very long texts are read whole; an
@@ -185,7 +189,145 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "version", "fp", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
+#: Of the wide fingerprints: words of a shingle, bits in which they may differ, and segments of three bytes.
+#: Texts whose five-word shingles have a Jaccard likeness of 0.8 differ in 19 of the 128 bits on average.
+WIDE_SHINGLE, WIDE_RADIUS = 5, 24
+WIDE_SEGMENTS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (0, 3, 15), (1, 6, 9), (4, 7, 12))
+#: Table rows of a range, on average: a task links range after range.
+WIDE_RANGE = 4 << 20
+
+
+def wide_fingerprints(texts: list[bytes], shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """128-bit fingerprints of UTF-8 texts, as two words each; no words give zero."""
+    from xxhash import xxh3_128_digest
+
+    out = np.zeros((len(texts), 16), np.uint8)
+    for k, t in enumerate(texts):
+        w = words_of(t.lower())
+        if w:
+            n = min(shingle, len(w))
+            grams = zip(*[w[i:] for i in range(n)], strict=False)
+            raw = b"".join([xxh3_128_digest(b" ".join(g)) for g in grams])
+            ones, total = np.zeros(128, np.int64), len(raw) // 16
+            for at in range(0, len(raw), 16 << 14):  # a bounded number of unpacked bits at a time
+                ones += np.unpackbits(np.frombuffer(raw[at : at + (16 << 14)], np.uint8).reshape(-1, 16), axis=1).sum(0, dtype=np.int64)
+            out[k] = np.packbits(2 * ones > total)
+    return out.view(np.uint64)
+
+
+def node_of(fp: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each wide fingerprint."""
+    return mix64(fp[:, 0] ^ mix64(fp[:, 1])).view(np.int64)
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        fp = wide_fingerprints(texts_of(b))
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("row_key")), pa.array(node_of(fp)), pa.array([x.tobytes() for x in fp], pa.binary())], ["row_key", "node", "fp"])
+
+
+_RECORD = np.dtype([("key", "<u4"), ("hi", "<u8"), ("lo", "<u8")])
+
+
+def _wide_filed(parts: int, each: int):
+    """Fingerprints under every segment and all that differ from it in one bit, so that those two bits apart meet as well; packed by range of slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = np.concatenate([[0], 1 << np.arange(24)]).astype(np.uint32)
+        for b in slices(batches, 2048):
+            fp = np.frombuffer(b"".join(b.column(b.schema.names.index("fp")).to_pylist()), np.uint64).reshape(-1, 2)
+            octets = fp.view(np.uint8).reshape(-1, 16).astype(np.uint32)
+            out = np.empty((len(WIDE_SEGMENTS), len(fp), 25), _RECORD)
+            for t, (i, j, k) in enumerate(WIDE_SEGMENTS):
+                out[t]["key"] = (t << 24 | octets[:, i] << 16 | octets[:, j] << 8 | octets[:, k])[:, None] ^ flips
+            out["hi"], out["lo"] = fp[None, :, None, 0], fp[None, :, None, 1]
+            out = out.ravel()
+            to = ((mix64(out["key"]) >> np.uint64(32)) * np.uint64(parts * each) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            out, cuts = out[order], np.searchsorted(to[order], np.arange(parts * each + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            for k in range(0, len(full), 64):
+                some = full[k : k + 64]
+                yield pa.RecordBatch.from_arrays([pa.array((some // each).astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([out[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary())], ["part", "range", "rows"])
+
+    return run
+
+
+def _wide_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one range of slots after another; rows come sorted by range."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["range"] != now:
+                yield from _wide_slots(held)
+                now, held = r["range"], []
+            held.append(r["rows"])
+    yield from _wide_slots(held)
+
+
+def _wide_slots(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    rows = np.frombuffer(b"".join(held), _RECORD)
+    held.clear()
+    order = np.argsort(rows["key"], kind="stable")
+    key = rows["key"][order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    shared = np.repeat(sizes > 1, sizes)
+    key, order = key[shared], order[shared]
+    fp = np.stack([rows["hi"][order], rows["lo"][order]], 1)
+    sizes = sizes[sizes > 1]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+    a, b = [], []
+    few = np.repeat(sizes <= SMALL, sizes)
+    key_few, fp_few = key[few], fp[few]
+    for d in range(1, SMALL):
+        if len(key_few) <= d:
+            break
+        at = np.flatnonzero(key_few[:-d] == key_few[d:])
+        at = at[np.bitwise_count(fp_few[at] ^ fp_few[at + d]).sum(1, dtype=np.int64) <= WIDE_RADIUS]
+        a.append(node_of(fp_few[at]))
+        b.append(node_of(fp_few[at + d]))
+    for k in np.flatnonzero(sizes > SMALL):
+        left = np.unique(fp[starts[k] : starts[k] + sizes[k]], axis=0)
+        while len(left) > 1:  # a forest connects what all pairs would
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                x = todo.pop()
+                near = np.bitwise_count(left ^ x).sum(1, dtype=np.int64) <= WIDE_RADIUS
+                if near.any():
+                    b.append(node_of(left[near]))
+                    a.append(np.repeat(node_of(x[None]), len(b[-1])))
+                    todo += list(left[near])
+                    left = left[~near]
+    if a:
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)])
+        pairs = np.unique(np.stack([pairs.max(0), pairs.min(0)]), axis=1) if pairs.shape[1] else pairs
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["a", "b"])
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) to a row per row: row_key, fp (16 bytes), kept: whether it is the row that stays of its group of like texts."""
+    rows = docs.select(row_key(F.col("doc_id").cast("long"), F.xxhash64("text")), "text")
+    rows = stored(rows.mapInArrow(_wide, "row_key struct<id: long, version: long>, node long, fp binary"))
+    named = F.min(F.when(F.col("row_key.id").isNotNull(), F.col("row_key")))
+    distinct = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), named.alias("first"), F.min("row_key").alias("any")))
+    parts = partitions(docs.sparkSession)
+    each = max(1, -(-distinct.count() * len(WIDE_SEGMENTS) * 25 // (WIDE_RANGE * parts)))
+    filed = distinct.select("node", "fp").repartition(parts, "node").select("fp").mapInArrow(_wide_filed(parts, each), "part int, range int, rows binary")
+    links = filed.repartitionById(parts, F.col("part")).sortWithinPartitions("range").mapInArrow(_wide_linked, "a long, b long")
+    found = components(links).withColumnRenamed("node", "found")
+    labelled = stored(distinct.join(found, F.col("node") == F.col("found"), "left").select("node", "first", "any", F.coalesce("root", "node").alias("label")))
+    least = stored(labelled.groupBy("label").agg(F.coalesce(F.min("first"), F.min("any")).alias("best")))
+    by_node = stored(labelled.join(least.hint("merge"), "label").select("node", "best"))
+    return rows.join(by_node.hint("merge"), "node").select("row_key", "fp", (F.col("row_key") == F.col("best")).alias("kept"))
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs without near copies: one row of each component, in the columns of docs. Of rows that share doc_id and text, the least by all columns stands for them."""
-    stay = near_groups(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("version")))
+    """docs without near copies: of texts that wide fingerprints link, directly or by others, the row with the smallest doc_id, in the columns of docs.
+
+    Texts are compared by five-word shingles; the radius takes in a Jaccard likeness of 0.8 and more. Of rows that share doc_id and text, the least by all columns stands for them.
+    """
+    stay = similar_groups(docs).filter("kept").select("row_key").distinct()
     return restored(keyed(docs).join(stay, "row_key", "left_semi").groupBy("row_key").agg(least_row(docs)), docs)

@@ -337,12 +337,72 @@ def test_simhash_groups(docs, nothing):
     expected = multiset((r[0], x, least.get(label[x])) for r, x in zip(ROWS, fp, strict=True))
     found = simhash_dedup.near_groups(docs).collect()
     assert multiset((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in found) == expected
-    kept = simhash_dedup.distinct_documents(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len({label[x] for x in fp})
     assert simhash_dedup.near_groups(nothing).count() == 0
 
 
+def brute_wide(text):
+    w = words((text or "").encode().lower().decode())
+    n = min(5, len(w))
+    h = [xxhash.xxh3_128_digest(b" ".join(w[k : k + n])) for k in range(len(w) - n + 1)] if w else []
+    bits = [int.from_bytes(x, "big") for x in h]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in bits) > len(h)).to_bytes(16, "big")
+
+
+def wide_label(fps):
+    """Of each fingerprint, the least that links lead to: 24 bits at most apart, and at most two in some segment."""
+    apart = lambda x, y, at: sum((x[k] ^ y[k]).bit_count() for k in at)
+    near = {x: [y for y in fps if apart(x, y, range(16)) <= 24 and any(apart(x, y, t) <= 2 for t in simhash_dedup.WIDE_SEGMENTS)] for x in fps}
+    label = {x: x for x in fps}
+    while True:
+        now = {x: min(label[y] for y in near[x]) for x in fps}
+        if now == label:
+            return label
+        label = now
+
+
+def edited(r, text, share):
+    return " ".join(f"e{r.integers(99)}" if r.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("small", [simhash_dedup.SMALL, 2])
+def test_wide_groups(spark, docs, nothing, monkeypatch, small):
+    monkeypatch.setattr(simhash_dedup, "SMALL", small)
+    monkeypatch.setattr(simhash_dedup, "WIDE_RANGE", 2000)  # many ranges a part
+    r = np.random.default_rng(12)
+    more = [edited(r, x[1], s) for x in ROWS if x[1] and len(x[1]) > 200 and len(x[1]) < 9000 for s in (0.01, 0.03)][:60] + [edited(r, ROWS[9][1], 0.01) for _ in range(30)]
+    rows = ROWS + [(1000 + k, t, *ROWS[0][2:]) for k, t in enumerate(more)]
+    both = docs.unionByName(frame(spark, rows[len(ROWS) :]))
+    fp = [brute_wide(x[1]) for x in rows]
+    label = wide_label(sorted(set(fp)))
+    groups = {}
+    for x, f in zip(rows, fp, strict=True):
+        groups.setdefault(label[f], []).append(x[0])
+    found = simhash_dedup.similar_groups(both).collect()
+    assert multiset((x["row_key"]["id"], bytes(x["fp"])) for x in found) == multiset((x[0], f) for x, f in zip(rows, fp, strict=True))
+    kept = simhash_dedup.distinct_documents(both)
+    assert kept.columns == docs.columns
+    assert multiset(x["doc_id"] for x in kept.collect()) == multiset(min((d for d in ids if d is not None), default=None) for ids in groups.values())
+    assert len(groups) < len({x[1] for x in rows}) - 40
+    assert simhash_dedup.distinct_documents(nothing).count() == 0
+
+
+def test_wide_links_find_likeness_of_four_fifths():
+    """Recall of pairs by their Jaccard likeness of five-word shingles; unlike texts never link."""
+    r = np.random.default_rng(2)
+    hit = Counter()
+    for k in range(300):
+        text = " ".join(f"v{x}" for x in r.integers(0, 3000, 300))
+        share = (0.005, 0.01, 0.02)[k % 3]
+        texts = [text, edited(r, text, share)]
+        grams = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+        likeness = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+        x, y = (f.tobytes() for f in simhash_dedup.wide_fingerprints([t.encode() for t in texts]))
+        hit[likeness >= 0.8, len(set(wide_label(sorted({x, y})).values())) == 1] += 1
+        z = simhash_dedup.wide_fingerprints([" ".join(f"u{v}" for v in r.integers(0, 3000, 300)).encode()])[0].tobytes()
+        assert wide_label(sorted({x, z}))[max(x, z)] == max(x, z)
+    assert hit[True, True] >= 0.9 * (hit[True, True] + hit[True, False])
+
+
 def test_links_of_a_crowded_slot(spark, monkeypatch):
     r = np.random.default_rng(3)
     low = r.integers(0, 1 << 12, 300)  # many in one slot of the upper half

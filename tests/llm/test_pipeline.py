@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import numpy as np
-from test_operators import brute_components, brute_fingerprint
+from test_operators import brute_wide, wide_label
 
 from quern.llm import mixing, packing, toxicity
 from quern.llm.common import documents, labels
@@ -23,8 +23,8 @@ def test_stages(spark):
         if k not in best or best[k]["doc_id"] < r["doc_id"]:
             best[k] = r
     exact = list(best.values())
-    fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in exact}
-    label = brute_components(sorted(set(fp.values())))
+    fp = {r["doc_id"]: brute_wide(r["text"]) for r in exact}
+    label = wide_label(sorted(set(fp.values())))
     near = {}
     for r in exact:
         c = label[fp[r["doc_id"]]]
