@@ -101,13 +101,16 @@ def numbered(values: DataFrame, buckets: int = 1024) -> DataFrame:
 
 
 def _elementwise(df: DataFrame, arrays: str, out: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """df with the array out of what change() adds as new__ beside each element item__."""
-    rows = df.withColumn("row__", F.monotonically_increasing_id())
-    items = change(rows.select("row__", F.posexplode(arrays).alias("at__", "item__")))
-    lists = items.groupBy("row__").agg(F.transform(F.array_sort(F.collect_list(F.struct("at__", "new__"))), lambda x: x["new__"]).alias("list__"))
-    kind = lists.schema["list__"].dataType
-    joined = rows.join(lists, "row__", "left")
-    return joined.withColumn(out, F.when(F.col(arrays).isNotNull(), F.coalesce("list__", F.array().cast(kind)))).drop("row__", "list__")
+    """df with the array out of what change() adds as new__ beside each element item__.
+
+    Rows are numbered once and not read again: a row's columns travel with its first element.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("row__"), F.struct(*df.columns).alias("kept__"))
+    items = rows.select("row__", "kept__", F.posexplode_outer(F.col("kept__")[arrays]).alias("at__", "item__"))
+    items = change(items.withColumn("kept__", F.when(F.coalesce("at__", F.lit(0)) == 0, F.col("kept__"))))
+    item = F.when(F.col("at__").isNotNull(), F.struct("at__", "new__"))
+    rows = items.groupBy("row__").agg(F.first("kept__", ignorenulls=True).alias("kept__"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["new__"]).alias("list__"))
+    return rows.select(*[F.col("kept__")[c].alias(c) for c in df.columns], F.when(F.col("kept__")[arrays].isNotNull(), F.col("list__")).alias(out))
 
 
 class Dictionaries:
