@@ -3,17 +3,19 @@
 Terms are lower-cased words and 5-word shingles (fewer words: the whole
 sequence); a term's weight grows with the logarithm of its count, and words
 weigh a fraction of a shingle, so that common words don't make unrelated texts
-alike. Each term's 128 hash bits vote its weight up or down.
+alike. Each term's 128 hash bits vote its weight up or down. The tables hold every
+document's fingerprint; those asked for are looked up in all of them.
 
 Defined results: a null text is empty; an empty text has fingerprint zero;
 equal texts have equal fingerprints; rows with one doc_id follow each other in
-descending order of text; null ids come after all others; the only row of a table is its own next one.
+descending order of text; null ids come after all others and aren't asked for; the only row of a table is
+its own next one; repeated rows are each other's neighbours; very long texts are read whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ SHINGLE = 5
 WORD_WEIGHT = 0.2
 #: Documents whose terms vote at a time.
 CHUNK = 512
+#: Bits in which fingerprints that the block tables find may differ.
+RADIUS = 3
+#: Neighbours are searched for documents whose id is divisible by this.
+ASKED = 50
 
 
 class Fingerprinter:
@@ -171,31 +177,64 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return dealt.mapInArrow(_in_order(bits), _RESULT)
 
 
-def _tables(bits: int, radius: int, blocks: int):
-    """Each table's key: the blocks that two fingerprints within the radius share in some table."""
-    size = bits // blocks
+def table_masks(bits: int, radius: int) -> list[list[int]]:
+    """Of each table, the bits that it permutes to the front, as signed 64-bit words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = b.to_pylist()
-            out = []
-            for r in rows:
-                x = int(r["fingerprint"], 16)
-                pieces = [(x >> (size * k)) & ((1 << size) - 1) for k in range(blocks)]
-                for t, keep in enumerate(combinations(range(blocks), blocks - radius)):
-                    out.append((t, ":".join(f"{pieces[k]:x}" for k in keep), r["fingerprint"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["t", "block_key", "fingerprint"]) if out else pa.RecordBatch.from_pydict({"t": pa.array([], pa.int64()), "block_key": pa.array([], pa.string()), "fingerprint": pa.array([], pa.string())})
+    Of radius + 1 blocks, one is alike in two fingerprints within the radius, and so is one of radius + 1 blocks of what is left;
+    a table stands for each choice of the two (3 bits of 128: 16 tables of 56 bits).
+    """
+    digits = np.arange(bits // 4)
+    masks = []
+    for block in np.array_split(digits, radius + 1):
+        for inner in np.array_split(np.setdiff1d(digits, block), radius + 1):
+            front = sum(0xF << (bits - 4 - 4 * int(d)) for d in (*block, *inner))
+            masks.append([(front >> at & (1 << 64) - 1 ^ 1 << 63) - (1 << 63) for at in range(bits - 64, -1, -64)])
+    return masks
 
-    return run
 
+def _filed(fps: DataFrame, name: str, masks: list[list[int]]) -> DataFrame:
+    """fps (fingerprint, other columns) once under its key in every table."""
+    words = [F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("long") for k in range(len(masks[0]))]
+    fps = fps.withColumn(name, F.array(*words))
+    keys = [F.xxhash64(*[F.col(name)[k].bitwiseAND(F.lit(m)) for k, m in enumerate(mask)]) for mask in masks]
+    return fps.select("*", F.posexplode(F.array(*keys)).alias("t", "block_key"))
 
-def find_near(index: DataFrame, queries: DataFrame, radius: int = 3, bits: int = BITS, blocks: int | None = None) -> DataFrame:
-    """index, queries (fingerprint hex) to (query, found, distance): every pair of distinct fingerprints within the radius.
 
-    With radius + b blocks, one of the tables that permute b whole blocks to the front holds both of a pair under one key.
+def _within(index: DataFrame, queries: DataFrame, radius: int, bits: int) -> DataFrame:
+    """Each pair of fingerprints within the radius, the same included, from the first table that holds both under one key.
+
+    Both sides meet as plain exchanges, so that adaptive execution splits crowded keys; pairs are tested as they are formed.
     """
-    blocks = blocks or next(b for b in range(radius + 1, bits + 1) if bits % b == 0)
-    make = lambda d: d.select("fingerprint").distinct().mapInArrow(_tables(bits, radius, blocks), "t long, block_key string, fingerprint string")
-    a, b = make(queries).withColumnRenamed("fingerprint", "query"), make(index).withColumnRenamed("fingerprint", "found")
-    distance = sum((F.bit_count(F.conv(F.substring("query", k + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("found", k + 1, 8), 16, 10).cast("long"))) for k in range(0, bits // 4, 8)), F.lit(0))
-    return a.join(b, ["t", "block_key"]).filter("query <> found").select("query", "found", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    masks = table_masks(bits, radius)
+    a = _filed(queries.select("fingerprint"), "x", masks).withColumnRenamed("fingerprint", "query")
+    b = _filed(index, "y", masks).withColumnRenamed("fingerprint", "found")
+    differ = [F.col("x")[k].bitwiseXOR(F.col("y")[k]) for k in range(bits // 64)]
+    distance = sum((F.bit_count(d) for d in differ), F.lit(0))
+    alike = [sum((F.bit_count(d.bitwiseAND(F.lit(m))) for d, m in zip(differ, mask, strict=True)), F.lit(0)) == 0 for mask in masks]
+    first = F.coalesce(*[F.when(same, F.lit(t)) for t, same in enumerate(alike)])
+    pairs = a.join(b.hint("merge"), ["t", "block_key"]).filter(distance <= radius).filter(first == F.col("t"))
+    return pairs.select("query", "found", distance.alias("distance"), *[c for c in index.columns if c != "fingerprint"])
+
+
+def find_near(index: DataFrame, queries: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """index, queries (fingerprint: bits in hex) to (query, found, distance): each pair of different fingerprints within the radius, once."""
+    return _within(index.select("fingerprint").distinct(), queries.select("fingerprint").distinct(), radius, bits).filter("query <> found")
+
+
+def with_neighbours(prints: DataFrame, radius: int = RADIUS, bits: int = BITS, every: int = ASKED) -> DataFrame:
+    """prints (doc_id, fingerprint, other columns) with n_near: how many other rows have a fingerprint within the radius.
+
+    Asked for each doc_id divisible by every, against all rows; null elsewhere, so for null ids too. Rows with one fingerprint are
+    counted before they are filed, so copies cost nothing.
+    """
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    known = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    near = _within(known, prints.filter(asked).select("fingerprint").distinct(), radius, bits)
+    near = near.groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
+    found = prints.filter(asked).join(near, F.col("fingerprint") == F.col("query")).drop("query")
+    return prints.filter(~asked).withColumn("n_near", F.lit(None).cast("long")).unionByName(found)
+
+
+def fingerprinted(docs: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """docs (doc_id, text) to edited_fingerprints() and with_neighbours() of them."""
+    return with_neighbours(stored(edited_fingerprints(docs, bits)), radius, bits)

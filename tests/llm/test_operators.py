@@ -347,7 +347,37 @@ def test_block_tables(spark, radius):
     fps = {b ^ sum(1 << int(k) for k in r.choice(128, d, replace=False)) for b in base for d in (0, 1, 2, 3, 5)}
     df = spark.createDataFrame([(f"{x:032x}",) for x in fps], "fingerprint string")
     expected = {(f"{x:032x}", f"{y:032x}", (x ^ y).bit_count()) for x in fps for y in fps if x != y and (x ^ y).bit_count() <= radius}
-    assert {tuple(x) for x in fingerprints.find_near(df, df, radius).collect()} == expected
+    found = [tuple(x) for x in fingerprints.find_near(df, df, radius).collect()]
+    assert set(found) == expected and len(found) == len(expected)
+
+
+def test_table_masks():
+    masks = fingerprints.table_masks(128, 3)
+    fronts = [sum((w & (1 << 64) - 1) << 64 * (1 - k) for k, w in enumerate(m)) for m in masks]
+    assert len(set(fronts)) == 16 and {f.bit_count() for f in fronts} == {56}
+    r = np.random.default_rng(3)
+    for _ in range(2000):
+        x = sum(1 << int(k) for k in r.choice(128, 3, replace=False))
+        assert any(x & f == 0 for f in fronts)
+
+
+def test_neighbours_are_counted_over_all_rows(spark, docs, nothing):
+    """n_near against brute force: copies, crowded keys, ids that aren't asked for and null ids."""
+    r = np.random.default_rng(4)
+    base = [int.from_bytes(r.bytes(16), "big") for _ in range(3)]
+    near = lambda d: base[0] ^ sum(1 << int(k) for k in r.choice(40, d, replace=False))
+    fps = [near(int(d)) for d in r.integers(0, 5, 300)] + base * 20 + [0, 0, (1 << 128) - 1, (1 << 127) + 1]
+    ids = [None if k % 7 == 3 else k % 260 for k in range(len(fps))]
+    df = spark.createDataFrame([(d, f"{x:032x}", k) for k, (d, x) in enumerate(zip(ids, fps, strict=True))], "doc_id long, fingerprint string, k long")
+    got = {x["k"]: x["n_near"] for x in fingerprints.with_neighbours(df).collect()}
+    assert got == {k: sum((x ^ y).bit_count() <= 3 for y in fps) - 1 if d is not None and d % 50 == 0 else None for k, (d, x) in enumerate(zip(ids, fps, strict=True))}
+    found = fingerprints.fingerprinted(docs).collect()
+    whole = [int(x["fingerprint"], 16) for x in found]
+    assert len(found) == len(ROWS)
+    for x, fp in zip(found, whole, strict=True):
+        asked = x["doc_id"] is not None and x["doc_id"] % 50 == 0
+        assert x["n_near"] == (sum((fp ^ y).bit_count() <= 3 for y in whole) - 1 if asked else None)
+    assert fingerprints.fingerprinted(nothing).count() == 0
 
 
 def brute_fingerprint(text):
