@@ -414,16 +414,25 @@ def test_simhash_groups(docs, nothing):
 
 def brute_wide(text):
     w = words((text or "").encode().lower().decode())
-    n = min(5, len(w))
-    h = [xxhash.xxh3_128_digest(b" ".join(w[k : k + n])) for k in range(len(w) - n + 1)] if w else []
-    bits = [int.from_bytes(x, "big") for x in h]
-    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in bits) > len(h)).to_bytes(16, "big")
+    n, mask = min(5, len(w)), (1 << 64) - 1
+
+    def mixed(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m & mask
+        return x ^ x >> 33
+
+    def hashed(gram):
+        h = xxhash.xxh3_128_digest(gram)
+        return h + b"".join(mixed(int.from_bytes(x, "little") ^ 0xA0761D6478BD642F).to_bytes(8, "little") for x in (h[:8], h[8:]))
+
+    bits = [int.from_bytes(hashed(b" ".join(w[k : k + n])), "big") for k in range(len(w) - n + 1)] if w else []
+    return sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in bits) > len(bits)).to_bytes(32, "big")
 
 
 def wide_label(fps):
-    """Of each fingerprint, the least that links lead to: 24 bits at most apart, and at most two in some segment."""
+    """Of each fingerprint, the least that links lead to: 44 bits at most apart, and at most two in some segment."""
     apart = lambda x, y, at: sum((x[k] ^ y[k]).bit_count() for k in at)
-    near = {x: [y for y in fps if apart(x, y, range(16)) <= 24 and any(apart(x, y, t) <= 2 for t in simhash_dedup.WIDE_SEGMENTS)] for x in fps}
+    near = {x: [y for y in fps if apart(x, y, range(32)) <= 44 and any(apart(x, y, t) <= 2 for t in simhash_dedup.WIDE_SEGMENTS)] for x in fps}
     label = {x: x for x in fps}
     while True:
         now = {x: min(label[y] for y in near[x]) for x in fps}
