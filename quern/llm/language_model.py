@@ -49,6 +49,10 @@ SIDE, STEPS = 512, 32
 END = b""
 #: The largest logit: its exponential is summed in single precision.
 LOGIT = 80.0
+#: Rows of a matrix product in scoring: in products of 12 or more, the place of a row can change its rounding.
+BLOCK = 8
+#: Rows of logits, and weights that learn together, that stay in a core's cache.
+ROWS, CHUNK = 2_048, 16_384
 #: Steps of an octave by which counts are told apart when the head is cut.
 OCTAVE = 64
 
@@ -123,29 +127,44 @@ class Corpus:
         return np.append(out, np.int32(get(END, n)))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x += 1
-    x *= 0.5
-    return x
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place; returns the logarithm of what exp(x) was divided by, by row. Logits lie well within LOGIT, which only guards against overflow."""
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place; returns the sums by row. Logits lie well within LOGIT, which only guards against overflow."""
     np.clip(x, -LOGIT, LOGIT, out=x)
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= total[:, None]
-    return np.log(total)
+    return x.sum(1)
+
 
+def _softmax(x: np.ndarray, scale: float) -> None:
+    """In place, times scale."""
+    x *= (scale / _exp(x))[:, None]
 
-def _padded(n: int, to: int = 16) -> int:
-    """Matrix products of whole blocks of rows give a row the same result wherever it stands."""
+
+def _padded(n: int, to: int = BLOCK) -> int:
     return -(-n // to) * to
 
 
+def _product(x: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+    """x @ w by blocks of BLOCK rows: a library of matrix products takes another way, with other roundings, at other sizes, and so a row gets the same result wherever and among however many others it stands."""
+    np.matmul(x.reshape(-1, BLOCK, x.shape[-1]), w, out=out.reshape(-1, BLOCK, out.shape[-1]))
+
+
+def _stepped(h: np.ndarray, against: np.ndarray, add: np.ndarray, hz: np.ndarray, hc: np.ndarray, zr: np.ndarray, c: np.ndarray, u: np.ndarray, after: np.ndarray, product=np.matmul) -> None:
+    """One step from h to after. against: what inputs take from both gates, add: what they give to the new value; hz, hc: the state's weights to these; zr, c, u: what backpropagation needs."""
+    n = h.shape[1]
+    product(h, hz, out=zr)
+    np.subtract(against, zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    product(h, hc, out=u)
+    np.multiply(zr[:, n:], u, out=c)
+    c += add
+    np.tanh(c, out=c)
+    np.subtract(c, h, out=after)
+    after *= zr[:, :n]
+    after += h
+
+
 class Network:
     """A gated recurrent unit whose state gives logits of classes, and of words within the classes of the top words."""
 
@@ -165,26 +184,21 @@ class Network:
             "wb": words,
         }
 
-    def step(self, x: np.ndarray, h: np.ndarray, gx: np.ndarray | None = None):
-        """x: input ids, gx: what they add to the gates; returns the next state and what backpropagation needs."""
+    def _state_weights(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.p["h"][:, : 2 * self.hidden].copy(), self.p["h"][:, 2 * self.hidden :].copy()
+
+    def step(self, x: np.ndarray, h: np.ndarray):
+        """x: input ids; returns the next state and what backpropagation needs."""
         n = self.hidden
-        if gx is None:
-            gx = self.p["x"][x] + self.p["b"]
-        gh = h @ self.p["h"]
-        zr = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
-        z, r, u = zr[:, :n], zr[:, n:], gh[:, 2 * n :]
-        c = r * u
-        c += gx[:, 2 * n :]
-        np.tanh(c, out=c)
-        after = c - h
-        after *= z
-        after += h
-        return after, (x, h, z, r, c, u)
+        gates = self.p["x"][x] + self.p["b"]
+        zr, c, u, after = (np.empty((len(h), k), h.dtype) for k in (2 * n, n, n, n))
+        _stepped(h, -gates[:, : 2 * n], gates[:, 2 * n :], *self._state_weights(), zr, c, u, after)
+        return after, (x, h, zr, c, u)
 
     def _by_class(self, target: np.ndarray, corpus: Corpus):
         """An order of rows by class, their classes, and the cuts between those of the top words."""
         cls = corpus.class_of[target]
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
         cls = cls[order]
         return order, cls, np.searchsorted(cls, np.arange(corpus.top_classes + 1))
 
@@ -193,11 +207,17 @@ class Network:
         n = len(h)
         order, cls, cuts = self._by_class(target, corpus)
         x = np.zeros((_padded(n), h.shape[1]), h.dtype)
-        x[:n] = h[order]
-        logits = (x @ self.p["c"])[:n]
-        logits += self.p["cb"]
-        own = logits[np.arange(n), cls]
-        own -= _softmax(logits)
+        np.take(h, order, axis=0, out=x[:n], mode="clip")
+        own, logits = np.empty(n, h.dtype), np.empty((ROWS, corpus.classes), h.dtype)
+        for at in range(0, n, ROWS):
+            part = x[at : at + ROWS]
+            now = logits[: len(part)]
+            _product(part, self.p["c"], out=now)
+            now = now[: n - at]
+            now += self.p["cb"]
+            said = now[np.arange(len(now)), cls[at : at + ROWS]]
+            said -= np.log(_exp(now))
+            own[at : at + ROWS] = said
         top = int(cuts[-1])
         if top:
             sizes = np.diff(cuts)
@@ -205,13 +225,16 @@ class Network:
             at = np.arange(top) + np.repeat(starts[:-1] - cuts[:-1], sizes)
             wide = np.zeros((int(starts[-1]), h.shape[1]), h.dtype)
             wide[at] = x[:top]
-            inner = np.empty((len(wide), CLASS), h.dtype)
+            inner, total = np.empty((len(wide), CLASS), h.dtype), np.empty(len(wide), h.dtype)
+            said = np.empty(top, h.dtype)
             for k in np.flatnonzero(sizes):
-                part = slice(starts[k], starts[k + 1])
-                np.matmul(wide[part], self.p["w"][k], out=inner[part])
-                inner[part] += self.p["wb"][k]
-            said = inner[at, target[order[:top]] - cls[:top] * CLASS]
-            said -= _softmax(inner)[at]
+                now = inner[starts[k] : starts[k + 1]]
+                _product(wide[starts[k] : starts[k + 1]], self.p["w"][k], out=now)
+                now += self.p["wb"][k]
+                own_words = slice(cuts[k], cuts[k + 1])
+                said[own_words] = now[np.arange(sizes[k]), target[order[own_words]] - k * CLASS]
+                total[starts[k] : starts[k + 1]] = _exp(now)
+            said -= np.log(total)[at]
             own[:top] += said
         out = np.empty(n)
         out[order] = own
@@ -236,11 +259,12 @@ class Network:
         del loads, docs
         #: All weights in one vector, and so their gradients and moments.
         theta = np.concatenate([x.ravel() for x in self.p.values()])
-        slope, m, v, spare = np.empty_like(theta), np.zeros_like(theta), np.zeros_like(theta), np.empty_like(theta)
+        slope, m, v, spare = np.empty_like(theta), np.zeros_like(theta), np.zeros_like(theta), np.empty(CHUNK, theta.dtype)
         g, at = {}, 0
         for k, x in self.p.items():
             self.p[k], g[k] = (y[at : at + x.size].reshape(x.shape) for y in (theta, slope))
             at += x.size
+        chunks = [tuple(y[at : at + CHUNK] for y in (theta, slope, m, v)) for at in range(0, len(theta), CHUNK)]
         n_updates, t, n = -(-length // WINDOW), 0, self.hidden
         h = np.zeros((len(sizes), n), theta.dtype)
         for at in range(0, length, WINDOW):
@@ -252,36 +276,41 @@ class Network:
             if at:
                 source[0] = words[at - 1, :live]
             source[new] = start
-            gates = self.p["x"][source]
+            gates = np.take(self.p["x"], source, axis=0, mode="clip")
             gates += self.p["b"]
-            kept, states, h, begins = [], np.empty((steps, live, n), theta.dtype), h[:live], new.any(1)
+            against, add = np.negative(gates[..., : 2 * n]), gates[..., 2 * n :].copy()
+            hz, hc = self._state_weights()
+            zr, (before, c, u, states), begins = np.empty_like(against), (np.empty_like(add) for _ in range(4)), new.any(1)
+            h = h[:live]
             for s in range(steps):
+                before[s] = h
                 if begins[s]:
-                    h = np.where(new[s][:, None], theta.dtype.type(0), h)
-                h, k = self.step(source[s], h, gates[s])
-                kept.append(k)
-                states[s] = h
+                    before[s][new[s]] = 0
+                h = states[s]
+                _stepped(before[s], against[s], add[s], hz, hc, zr[s], c[s], u[s], h)
             slope[:] = 0
             target = np.where(own >= 0, corpus.target_of[own], -1).ravel()
             _, dh = self._output_grads(states.reshape(-1, n), target, corpus, g)
-            self._backward(kept, new, dh.reshape(steps, live, n), g)
+            self._backward((source, before, zr, c, u), new, dh.reshape(steps, live, n), g)
             t += 1
             lr = rate * (1 - 0.9 * (done + t / n_updates) / epochs)
             share = min(1.0, 5.0 / (math.sqrt(float(slope @ slope)) + 1e-9))
-            slope *= share
-            m *= 0.9
-            np.multiply(slope, 0.1, out=spare)
-            m += spare
-            v *= 0.999
-            np.multiply(slope, slope, out=spare)
-            spare *= 0.001
-            v += spare
-            np.multiply(v, 1 / (1 - 0.999**t), out=spare)
-            np.sqrt(spare, out=spare)
-            spare += 1e-6
-            np.divide(m, spare, out=spare)
-            spare *= lr / (1 - 0.9**t)
-            theta -= spare
+            if share < 1:
+                slope *= share
+            # m and v are kept as 10 and 1000 times the moments
+            root = math.sqrt(0.001 / (1 - 0.999**t))
+            for own_theta, own_slope, own_m, own_v in chunks:
+                x = spare[: len(own_m)]
+                own_m *= 0.9
+                own_m += own_slope
+                np.multiply(own_slope, own_slope, out=x)
+                own_v *= 0.999
+                own_v += x
+                np.sqrt(own_v, out=x)
+                x += 1e-6 / root
+                np.divide(own_m, x, out=x)
+                x *= 0.1 * lr / (1 - 0.9**t) / root
+                own_theta -= x
 
     def _output_grads(self, h: np.ndarray, target: np.ndarray, corpus: Corpus, g: dict | None = None):
         live = np.flatnonzero(target >= 0)
@@ -292,97 +321,107 @@ class Network:
             return g, dh
         order, cls, cuts = self._by_class(target[live], corpus)
         live = live[order]
-        x, y, scale = h[live], target[live], h.dtype.type(1 / len(live))
+        x, y, scale = np.take(h, live, axis=0, mode="clip"), target[live], h.dtype.type(1 / len(live))
+        ones = np.ones(len(x), h.dtype)
         p = x @ self.p["c"]
         p += self.p["cb"]
-        _softmax(p)
-        p *= scale
+        _softmax(p, scale)
         p[np.arange(len(x)), cls] -= scale
         np.matmul(x.T, p, out=g["c"])
-        g["cb"][:] = p.sum(0)
+        np.matmul(ones, p, out=g["cb"])
         d = p @ self.p["c"].T
         top, used = int(cuts[-1]), np.flatnonzero(np.diff(cuts))
         if top:
             q = np.empty((top, CLASS), h.dtype)
-            parts = [(k, slice(cuts[k], cuts[k + 1])) for k in used]
+            parts = [(k, slice(cuts[k], cuts[k + 1])) for k in used.tolist()]
             for k, part in parts:
                 np.matmul(x[part], self.p["w"][k], out=q[part])
                 q[part] += self.p["wb"][k]
-            _softmax(q)
-            q *= scale
+            _softmax(q, scale)
             q[np.arange(top), y[:top] - cls[:top] * CLASS] -= scale
-            g["wb"][used] = np.add.reduceat(q, cuts[used])
             for k, part in parts:
+                np.matmul(ones[part], q[part], out=g["wb"][k])
                 np.matmul(x[part].T, q[part], out=g["w"][k])
                 d[part] += q[part] @ self.p["w"][k].T
         dh[live] = d
         return g, dh
 
-    def _backward(self, kept: list, fresh: np.ndarray, dh_out: np.ndarray, g: dict) -> None:
-        n, dh, back = self.hidden, np.zeros_like(dh_out[0]), self.p["h"].T.copy()
-        gates = np.empty((len(kept), len(dh), 3 * n), dh.dtype)  # of what comes in by the word, and in du by the state
-        du, begins = np.empty_like(gates), fresh.any(1)
-        for s in range(len(kept) - 1, -1, -1):
-            _, h, z, r, c, u = kept[s]
-            dh += dh_out[s]
-            dx, dz = gates[s], dh * z
-            dc = dx[:, 2 * n :]
-            np.multiply(c, c, out=dc)
-            np.subtract(1, dc, out=dc)
-            dc *= dz
-            keep = 1 - z
-            a = dx[:, :n]
-            np.subtract(c, h, out=a)
-            a *= dz
-            a *= keep
-            b = dx[:, n : 2 * n]
-            np.subtract(1, r, out=b)
-            b *= r
-            b *= u
-            b *= dc
-            du[s, :, : 2 * n] = dx[:, : 2 * n]
-            np.multiply(dc, r, out=du[s, :, 2 * n :])
-            dh *= keep
-            dh += du[s] @ back
+    def _backward(self, kept: list | tuple, fresh: np.ndarray, dh_out: np.ndarray, g: dict) -> None:
+        """kept: what step() returned, step by step, or for all steps at once."""
+        source, before, zr, c, u = kept if isinstance(kept, tuple) else (np.stack(x) for x in zip(*kept, strict=True))
+        n, back, begins = self.hidden, self.p["h"].T.copy(), fresh.any(1)
+        z, r = zr[..., :n], zr[..., n:]
+        # what a unit of the state's slope adds to the slopes of both gates and of the state's part of the new value, and leaves to the step before
+        of_new, leaves = c * c, 1 - z
+        np.subtract(1, of_new, out=of_new)
+        of_new *= z
+        each = np.empty((*c.shape[:2], 3, n), c.dtype)
+        x = c - before
+        x *= z
+        np.multiply(x, leaves, out=each[:, :, 0])
+        np.multiply(of_new, r, out=each[:, :, 2])
+        np.subtract(1, r, out=x)
+        x *= u
+        np.multiply(x, each[:, :, 2], out=each[:, :, 1])
+        slopes, dh = np.empty_like(c), np.zeros_like(dh_out[0])
+        for s in range(len(c) - 1, -1, -1):
+            own, du = slopes[s], each[s]
+            np.add(dh, dh_out[s], out=own)
+            du *= own[:, None]
+            np.matmul(du.reshape(len(own), 3 * n), back, out=dh)
+            leaves[s] *= own
+            dh += leaves[s]
             if begins[s]:
                 dh[fresh[s]] = 0
-        flat = gates.reshape(-1, 3 * n)
-        g["b"] += flat.sum(0)
-        g["h"] += np.concatenate([k[1] for k in kept]).T @ du.reshape(-1, 3 * n)
-        x = np.concatenate([k[0] for k in kept])
-        order = np.argsort(x, kind="stable")
-        starts = np.flatnonzero(np.diff(x[order], prepend=-1))
-        g["x"][x[order[starts]]] += np.add.reduceat(flat[order], starts)
+        du = each.reshape(-1, 3 * n)
+        g["h"] += before.reshape(-1, n).T @ du
+        of_new *= slopes
+        each[:, :, 2] = of_new  # from here on of what comes in by the word
+        g["b"] += np.ones(len(du), du.dtype) @ du
+        x = source.ravel()
+        order = np.argsort(x.astype(np.uint16), kind="stable")
+        x = x[order]
+        starts = np.flatnonzero(np.diff(x, prepend=-1))
+        pairs = np.take(du, order, axis=0, mode="clip").view(np.result_type(du.dtype, np.complex64))  # two numbers at a time
+        g["x"][x[starts]] += np.add.reduceat(pairs, starts).view(du.dtype)
 
     def score(self, docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
         """log10 probability of each document (ids), the words of the tail left to their counts."""
-        out = np.zeros(len(docs))
+        out, n = np.zeros(len(docs)), self.hidden
         order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
         gates, start = self.p["x"] + self.p["b"], corpus.inputs - 1
+        gates[:, : 2 * n] *= -1
+        hz, hc = self._state_weights()
         for at in range(0, len(order), SIDE):
             lanes = order[at : at + SIDE]
             sizes = np.array([len(docs[k]) for k in lanes])
-            h, last = np.zeros((_padded(len(lanes)), self.hidden), gates.dtype), np.full(_padded(len(lanes)), start, np.int32)
+            h, last = np.zeros((_padded(len(lanes)), n), gates.dtype), np.full(_padded(len(lanes)), start, np.int32)
+            zr, (c, u) = np.empty((len(h), 2 * n), h.dtype), (np.empty_like(h) for _ in range(2))
             for s in range(0, int(sizes[0]), STEPS):
-                n = int(np.searchsorted(-sizes, -s, "left"))  # lanes that go on
-                block = np.full((STEPS, _padded(n)), -1, np.int32)
-                for k in range(n):
+                live = int(np.searchsorted(-sizes, -s, "left"))  # lanes that go on
+                block = np.full((STEPS, _padded(live)), -1, np.int32)
+                for k in range(live):
                     part = docs[lanes[k]][s : s + STEPS]
                     block[: len(part), k] = part
-                states, said, who, x, now = [], [], [], last[: _padded(n)], h[: _padded(n)]
-                for y in block:
-                    m = int(np.searchsorted(y[:n] < 0, True)) if y[n - 1] < 0 else n
+                left = (block[:, :live] >= 0).sum(1).tolist()
+                source = np.empty_like(block)
+                source[0] = last[: block.shape[1]]
+                source[1:] = np.where(block[:-1] < 0, start, corpus.input_of[block[:-1]])
+                last = np.where(block[-1] < 0, start, corpus.input_of[block[-1]])
+                states, said, who, now = [], [], [], h
+                for x, y, m in zip(source, block, left, strict=True):
                     if m == 0:
                         break
                     wide = _padded(m)
-                    now, _ = self.step(x[:wide], now[:wide], gates[x[:wide]])
+                    gx, after = np.take(gates, x[:wide], axis=0, mode="clip"), np.empty((wide, n), h.dtype)
+                    _stepped(now[:wide], gx[:, : 2 * n], gx[:, 2 * n :], hz, hc, zr[:wide], c[:wide], u[:wide], after, _product)
+                    now = after
                     states.append(now[:m])
                     said.append(y[:m])
                     who.append(np.arange(m))
-                    x = np.where(y[:wide] < 0, start, corpus.input_of[y[:wide]])
                 logs = self.log_probs(np.concatenate(states), np.concatenate(said), corpus)
-                out[lanes[:n]] += np.bincount(np.concatenate(who), weights=logs, minlength=n)
-                h, last = now, x
+                out[lanes[:live]] += np.bincount(np.concatenate(who), weights=logs, minlength=live)
+                h = now
         return out
 
 

@@ -815,6 +815,18 @@ def test_language_model_score_is_a_plain_forward_pass():
         assert got == pytest.approx(total / math.log(10), rel=1e-4)
 
 
+def test_language_model_scores_a_text_alone_as_among_others():
+    r = np.random.default_rng(10)
+    counts = np.sort(r.integers(1, 900, 3000))[::-1].astype(np.int64)
+    c = language_model.Corpus([f"w{k}".encode() for k in range(3000)], counts, int(counts.sum()) + 500, 3200)
+    net = language_model.Network(c)
+    net.p = {k: x + 0.3 * r.standard_normal(x.shape).astype(np.float32) for k, x in net.p.items()}
+    docs_ = [r.integers(0, 3001, n).astype(np.int32) for n in r.integers(1, 300, 700)]
+    among, turned = net.score(docs_, c), net.score(docs_[::-1], c)
+    assert np.array_equal(among, turned[::-1])
+    assert all(net.score([docs_[k]], c)[0] == among[k] for k in range(0, 700, 23))
+
+
 @pytest.mark.parametrize("head", [language_model.HEAD, 1])
 def test_language_model_without_ids_or_training_rows(spark, head):
     schema = "doc_id long, text string, word string, c long"
