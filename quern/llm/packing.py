@@ -51,8 +51,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A mark that ends a chunk after a letter or digit: the tokenizer cuts there too.
-_ENDING = re.compile(rb"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~](?<=[a-z0-9].)(?=[\x20\x09-\x0D]|$)")
+_MARKS = rb"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
+#: Marks that end a chunk after a letter or digit, of ASCII or with an accent: the tokenizer cuts there too, and takes them as one.
+_ENDING = re.compile(_MARKS + rb"(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + _MARKS + rb"*(?=[\x20\x09-\x0D]|$)")
+#: Small letters of Latin-1, which are their own normal form.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Characters that are words of their own to the tokenizer; the first with one id parts chunks that are encoded together.
 _PARTING = "\u00b2\u00b3\u00b9\u00bd\u00bc\u00be"
 
@@ -67,10 +70,11 @@ def _byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Ids of white-space-free chunks, lower-cased and without an ending mark: this tokenizer drops white space and case before it merges, so chunks are encoded alone.
 
-    The chunks of some texts that aren't remembered are encoded together, parted by a character that none of them holds.
-    Chunks of Latin letters in normal form are what the tokenizer would look up anyway, so they skip its normalising and cutting.
-    A chunk is remembered from its second sight on, as most are seen once only. Both memories are bounded: chunks have two
-    generations, of which a full one becomes the old one; marks of first sights are wiped once they are many.
+    Chunks of Latin letters in normal form are what the tokenizer would look up anyway, so they skip its normalising and cutting, those of Latin-1 as soon as they are met.
+    The other chunks of some texts that aren't remembered are encoded together, parted by a character that none of them holds.
+    A chunk is remembered from its second sight on, as most are seen once only. All memories are bounded: chunks have two
+    generations, of which a full one becomes the old one; those of one sight lie apart, and these and the marks of first sights
+    are wiped once they are many.
     """
 
     LIMIT = 250_000
@@ -82,7 +86,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.once: dict[bytes, bytes] = {}
         self.marks, self.marked = bytearray(self.MARKS), 0
+        self.merged, self.deferred = self.tokenizer.model.tokenize, []
         self.letters = _byte_letters()
         alone = {x: self._encoded(x) for x in _PARTING}
         self.parting, self.parting_id = next(((x, ids[0]) for x, ids in alone.items() if len(ids) == 1), (None, None))
@@ -93,11 +99,11 @@ class Encoder(dict):
     def _chunks_encoded(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         from unicodedata import is_normalized
 
-        merged, together = self.tokenizer.model.tokenize, []
+        together = []
         for c in chunks:
             t = c.decode("utf-8", "replace")
             if t.isalpha() and max(t) < "\u0180" and t == t.lower() and is_normalized("NFC", t):
-                yield c, array("H", [x.id for x in merged(t if t.isascii() else c.decode("latin-1").translate(self.letters))]).tobytes()
+                yield c, self._merged(c)
             elif self.parting is None or self.parting in t:
                 yield c, array("H", self._encoded(t)).tobytes()
             else:
@@ -109,6 +115,30 @@ class Encoder(dict):
             raw = ids.tobytes()
             yield from zip([c for c, _ in part], [raw[a:b] for a, b in zip([0, *(x + 2 for x in cuts)], [*cuts, len(raw)], strict=True)], strict=True)
 
+    def _merged(self, chunk: bytes) -> bytes:
+        letters = chunk.decode() if chunk.isascii() else chunk.decode("latin-1").translate(self.letters)
+        return array("H", [x.id for x in self.merged(letters)]).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes | None:
+        """The ids of a chunk of Latin-1 letters, or of one in the old generation; else None, and the chunk is deferred."""
+        ids = self.old.get(chunk) or self.once.pop(chunk, None)
+        if ids is not None:
+            self._remember(chunk, ids)
+        elif chunk.isalpha() and chunk.islower() or _LETTERS.fullmatch(chunk):
+            ids = self._merged(chunk)
+            self._met(chunk, ids)
+        else:
+            self.deferred.append(chunk)
+        return ids
+
+    def _met(self, chunk: bytes, ids: bytes) -> None:
+        if self._seen_before(chunk):
+            self._remember(chunk, ids)
+            return
+        if len(self.once) >= self.LIMIT:
+            self.once.clear()
+        self.once[chunk] = ids
+
     def _remember(self, chunk: bytes, ids: bytes) -> None:
         if len(self) >= self.LIMIT:
             self.old = dict(self)
@@ -138,23 +168,16 @@ class Encoder(dict):
         for text in texts:
             if b"<|" not in text:  # else it may hold a special token, which is told by case
                 text = _ENDING.sub(rb" \g<0>", text.lower())
-            chunks = text.split()
-            ids = list(map(self.get, chunks))
-            at = -1
-            for _ in range(ids.count(None)):
+            self.deferred = []
+            ids, at = list(map(self.__getitem__, text.split())), -1
+            for chunk in self.deferred:
                 at = ids.index(None, at + 1)
-                holes.append((ids, at, chunks[at]))
+                holes.append((ids, at, chunk))
             found.append(ids)
         known: dict[bytes, bytes] = {}
-        for chunk in {x[2] for x in holes}:
-            ids = self.old.get(chunk)
-            if ids is not None:
-                known[chunk] = ids
-                self._remember(chunk, ids)
-        for chunk, ids in self._chunks_encoded(list({x[2] for x in holes} - known.keys())):
+        for chunk, ids in self._chunks_encoded(list({x[2] for x in holes})):
             known[chunk] = ids
-            if self._seen_before(chunk):
-                self._remember(chunk, ids)
+            self._met(chunk, ids)
         for ids, at, chunk in holes:
             ids[at] = known[chunk]
         return [np.frombuffer(b"".join(x), "<u2") for x in found]
@@ -185,6 +208,13 @@ def _tokenized(path: str, length: int, end: int):
     return run
 
 
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms in order, and how often each occurs. A stable sort of 16 bits goes by digits."""
+    x = np.sort(ids, kind="stable")
+    ends = np.flatnonzero(np.append(x[1:] != x[:-1], True)) if len(x) else np.empty(0, np.int64)
+    return x[ends], np.diff(ends, prepend=-1)
+
+
 def _tallied(length: int):
     """(term, n): documents of the pool that have the term; term -1: documents, -2: tokens."""
 
@@ -193,7 +223,7 @@ def _tallied(length: int):
         for b in slices(batches):
             for x in b.column(b.schema.names.index("ids")).to_pylist():
                 if len(x) < 2 * length:
-                    df[np.unique(np.frombuffer(x, "<u2"))] += 1
+                    df[_terms(np.frombuffer(x, "<u2"))[0]] += 1
                     n, tokens = n + 1, tokens + len(x) // 2
         terms = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, tokens]))], ["term", "n"])
@@ -205,12 +235,12 @@ def _idf(n: int, df: np.ndarray) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def content_key(ids: np.ndarray, idf: np.ndarray, draws: np.ndarray) -> int:
-    """A term for each row of draws (exponential variates by term), 16 bits each: two documents have a term in common as often as their weighted Jaccard likeness says."""
-    terms, tf = np.unique(ids, return_counts=True)
-    least = draws[:, terms] / (idf[terms] * tf / (tf + K1))
+def content_key(ids: np.ndarray, draws: np.ndarray) -> int:
+    """A term for each column of draws (exponential variates by term, over its idf), 16 bits each: two documents have a term in common as often as their weighted Jaccard likeness says."""
+    terms, tf = _terms(ids)
+    least = np.take(draws, terms, axis=0) * (1 + K1 / tf)[:, None]
     out = 0
-    for t in terms[least.argmin(1)].tolist():
+    for t in terms[least.argmin(0)].tolist():
         out = out << 16 | t
     return out
 
@@ -220,12 +250,12 @@ def _coded(length: int, df: np.ndarray, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = np.where(df > 1, _idf(n, df), 1e-9)  # a term of one document can't bring it to another
-        draws = np.random.default_rng(11).exponential(size=(3, 65536))
+        draws = np.ascontiguousarray((np.random.default_rng(11).exponential(size=(3, 65536)) / idf).T)
         for b in slices(batches):
             names = b.schema.names
             codes = []
             for version, x in zip(b.column(names.index("version")).to_pylist(), b.column(names.index("ids")).to_pylist(), strict=True):
-                codes.append(content_key(np.frombuffer(x, "<u2"), idf, draws) << 15 | version >> 32 & 0x7FFF if len(x) < 2 * length else None)
+                codes.append(content_key(np.frombuffer(x, "<u2"), draws) << 15 | version >> 32 & 0x7FFF if len(x) < 2 * length else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.int64())], [*names, "code"])
 
     return run

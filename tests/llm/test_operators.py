@@ -574,6 +574,22 @@ def test_encoder_memories_stay_bounded(monkeypatch):
     assert encode.old  # both generations were in use
 
 
+def test_encoder_merges_a_word_once_whatever_marks_end_it():
+    from tokenizers import Tokenizer
+
+    encode, tok = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    merge, merged = tok.model.tokenize, []
+    encode.merged = lambda x: merged.append(x) or merge(x)
+    names = ["inthedstsh", "enréan", "menteñé", "façà"]
+    for end in ("", ".", "###", ".%%%", "&&&", "", "***\n"):
+        for t in (" ".join(x + end for x in names), " ".join(x + end for x in reversed(names))):
+            assert encode.ids(t.encode()).tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(merged) == len(names)
+    for t in ("É!? x'$$ a'### it's'. ß--- ¼### …### 漢.) ①%% e\u0301### =\u0338= 5%%% ×** é÷-- ª## ŉ.. ǆ!! ﬁ## x\u0327.. \u0345..", "É### <|x|> AB### <|endoftext|>$$$"):
+        for x in (t, *t.split()):
+            assert encode.ids(x.encode()).tolist() == tok.encode(x, add_special_tokens=False).ids
+
+
 def test_neighbours_share_rare_tokens():
     index = packing.Index([np.array(x, np.uint16) for x in ([1, 2, 3], [1, 9, 8], [3, 2, 7], [5, 6, 4])])
     assert index.neighbours(0, np.zeros(4, bool)).tolist() == [2, 1]
