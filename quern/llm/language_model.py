@@ -43,7 +43,7 @@ HIDDEN = 32
 #: Training tokens of a shard, on average.
 SHARD = 1_000_000
 LANES, WINDOW, EPOCHS, RATE = 64, 32, 3, 0.01
-#: Documents scored side by side, and steps whose states are kept.
+#: Lanes that score side by side at most, and steps of so many whose states are kept.
 SIDE, STEPS = 512, 32
 #: Stands for the end of a document among the words.
 END = b""
@@ -127,16 +127,40 @@ class Corpus:
         return np.append(out, np.int32(get(END, n)))
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    """In place; returns the sums by row. Logits lie well within LOGIT, which only guards against overflow."""
-    np.clip(x, -LOGIT, LOGIT, out=x)
+def _exp(x: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """In place; returns the sums by row. No logit lies beyond most; LOGIT only guards against overflow."""
+    if most > LOGIT:
+        np.clip(x, -LOGIT, LOGIT, out=x)
     np.exp(x, out=x)
-    return x.sum(1)
+    return np.einsum("ij->i", x)
 
 
-def _softmax(x: np.ndarray, scale: float) -> None:
+def _softmax(x: np.ndarray, scale: float, most: float) -> None:
     """In place, times scale."""
-    x *= (scale / _exp(x))[:, None]
+    x *= (scale / _exp(x, most))[:, None]
+
+
+def _most(w: np.ndarray) -> float:
+    """Above any logit that weights w (.., states and a bias, words) give: no state lies beyond 1."""
+    return 1.001 * float(np.abs(w).sum(-2).max(initial=0.0))
+
+
+def _gram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y by blocks of rows: a library of matrix products is slow where the summed side is by far the longest."""
+    whole = len(x) // 128 * 128
+    out = x[whole:].T @ y[whole:]
+    if whole:
+        out += np.matmul(x[:whole].reshape(-1, 128, x.shape[1]).transpose(0, 2, 1), y[:whole].reshape(-1, 128, y.shape[1])).sum(0)
+    return out
+
+
+def _summed(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x (below 65,536) in order, and the sums of their rows."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    x = x[order]
+    starts = np.flatnonzero(np.diff(x, prepend=-1))
+    pairs = np.take(rows, order, axis=0, mode="clip").view(np.result_type(rows.dtype, np.complex64))  # two numbers at a time
+    return x[starts], np.add.reduceat(pairs, starts).view(rows.dtype)
 
 
 def _padded(n: int, to: int = BLOCK) -> int:
@@ -148,23 +172,92 @@ def _product(x: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
     np.matmul(x.reshape(-1, BLOCK, x.shape[-1]), w, out=out.reshape(-1, BLOCK, out.shape[-1]))
 
 
-def _stepped(h: np.ndarray, against: np.ndarray, add: np.ndarray, hz: np.ndarray, hc: np.ndarray, zr: np.ndarray, c: np.ndarray, u: np.ndarray, after: np.ndarray, product=np.matmul) -> None:
-    """One step from h to after. against: what inputs take from both gates, add: what they give to the new value; hz, hc: the state's weights to these; zr, c, u: what backpropagation needs."""
-    n = h.shape[1]
-    product(h, hz, out=zr)
-    np.subtract(against, zr, out=zr)
+def _stepped(h: np.ndarray, gates: np.ndarray, hz: np.ndarray, hc: np.ndarray, both: np.ndarray, u: np.ndarray, after: np.ndarray, product=np.matmul) -> None:
+    """One step from h to after. gates (3, rows, units): what inputs take from both gates and give to the new value; becomes both gates and the new value. hz, hc: the state's weights to these; u: its part of the new value, for backpropagation; both: to write over."""
+    zr, c = gates[:2], gates[2]
+    product(h, hz, out=both)
+    np.subtract(zr, both.reshape(len(h), 2, -1).transpose(1, 0, 2), out=zr)
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
     product(h, hc, out=u)
-    np.multiply(zr[:, n:], u, out=c)
-    c += add
+    np.multiply(zr[1], u, out=after)
+    c += after
     np.tanh(c, out=c)
     np.subtract(c, h, out=after)
-    after *= zr[:, :n]
+    after *= zr[0]
     after += h
 
 
+def _moved(theta: np.ndarray, slope: np.ndarray, m: np.ndarray, v: np.ndarray, x: np.ndarray, go: float, least: float) -> None:
+    """One step of Adam. m and v: 10 and 1000 times the moments; x: to write over."""
+    m *= 0.9
+    m += slope
+    np.multiply(slope, slope, out=x)
+    v *= 0.999
+    v += x
+    np.sqrt(v, out=x)
+    x += least
+    np.divide(m, x, out=x)
+    x *= go
+    theta -= x
+
+
+class _Rows:
+    """Weights of which each step of Adam has slopes of some rows only.
+
+    The others move on by their moments, which shrink by known factors: when a row is next met, what it has missed is
+    one sum. It is the sum that step after step would give, but for least, of which the divisor has the mean over these steps.
+    """
+
+    def __init__(self, theta: np.ndarray) -> None:
+        self.kept = theta, np.zeros_like(theta), np.zeros_like(theta)  # weights and moments
+        #: Of each row since it was last moved: factors of both moments, how far one unit of them has gone, and least times that.
+        self.m, self.v, self.gone, self.least = (f(len(theta)) for f in (np.ones, np.ones, np.zeros, np.zeros))
+
+    def met(self, rows: np.ndarray) -> np.ndarray:
+        """Rows as they are by now."""
+        self.now = theta, m, v = [np.take(y, rows, axis=0, mode="clip") for y in self.kept]
+        least = self.least / np.maximum(self.gone, 1e-30) + (self.gone == 0)
+        gone, least, of_m, of_v = (np.take(y, rows).astype(theta.dtype)[:, None] for y in (self.gone, least, self.m, self.v))
+        x = np.sqrt(v)
+        x += least
+        np.divide(m, x, out=x)
+        x *= gone
+        theta -= x
+        m *= of_m
+        v *= of_v
+        return theta
+
+    def moved(self, rows: np.ndarray, slope: np.ndarray, go: float, least: float) -> None:
+        """A step of all rows, of which these, the ones met last, have slopes."""
+        self.m *= 0.9
+        self.v *= 0.999
+        root = np.sqrt(self.v)
+        of_now = go * self.m / root
+        self.gone += of_now
+        self.least += of_now * least / root
+        theta, m, v = self.now
+        _moved(theta, slope, m, v, np.empty_like(slope), go, least)
+        for y, now in zip(self.kept, self.now, strict=True):
+            y[rows] = now
+        self.m[rows] = self.v[rows] = 1
+        self.gone[rows] = self.least[rows] = 0
+
+    def all(self) -> np.ndarray:
+        return self.met(np.arange(len(self.gone)))
+
+
+def _parted(joint: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    c, w = joint
+    return {"c": c[:-1], "cb": c[-1], "w": w[:, :-1], "wb": w[:, -1]}
+
+
+def _slopes(joint: tuple[np.ndarray, np.ndarray]) -> dict:
+    room = np.zeros_like(joint[0]), np.zeros_like(joint[1])
+    return _parted(room) | {"joint": (joint, room)}
+
+
 class Network:
     """A gated recurrent unit whose state gives logits of classes, and of words within the classes of the top words."""
 
@@ -187,13 +280,28 @@ class Network:
     def _state_weights(self) -> tuple[np.ndarray, np.ndarray]:
         return self.p["h"][:, : 2 * self.hidden].copy(), self.p["h"][:, 2 * self.hidden :].copy()
 
+    def _input_gates(self, x: np.ndarray | None = None) -> np.ndarray:
+        """(3, inputs, hidden): what each input, or each row of x, takes from both gates, and gives to the new value."""
+        x = (self.p["x"] if x is None else x).reshape(-1, 3, self.hidden).transpose(1, 0, 2)
+        out = np.empty(x.shape, x.dtype)
+        np.add(x, self.p["b"].reshape(3, 1, -1), out=out)
+        np.negative(out[:2], out=out[:2])
+        return out
+
     def step(self, x: np.ndarray, h: np.ndarray):
         """x: input ids; returns the next state and what backpropagation needs."""
-        n = self.hidden
-        gates = self.p["x"][x] + self.p["b"]
-        zr, c, u, after = (np.empty((len(h), k), h.dtype) for k in (2 * n, n, n, n))
-        _stepped(h, -gates[:, : 2 * n], gates[:, 2 * n :], *self._state_weights(), zr, c, u, after)
-        return after, (x, h, zr, c, u)
+        gates = self._input_gates()[:, x]
+        u, after = np.empty_like(h), np.empty_like(h)
+        _stepped(h, gates, *self._state_weights(), np.empty((len(h), 2 * self.hidden), h.dtype), u, after)
+        return after, (x, h, gates, u)
+
+    def _joint(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of logits with the biases as one more state, that of classes and that of words within classes."""
+        return np.concatenate([self.p["c"], self.p["cb"][None]]), np.concatenate([self.p["w"], self.p["wb"][:, None]], axis=1)
+
+    def _logits(self) -> tuple[np.ndarray, np.ndarray, float, float]:
+        c, w = self._joint()
+        return c, w, _most(c), _most(w)
 
     def _by_class(self, target: np.ndarray, corpus: Corpus):
         """An order of rows by class, their classes, and the cuts between those of the top words."""
@@ -202,38 +310,37 @@ class Network:
         cls = cls[order]
         return order, cls, np.searchsorted(cls, np.arange(corpus.top_classes + 1))
 
-    def log_probs(self, h: np.ndarray, target: np.ndarray, corpus: Corpus) -> np.ndarray:
-        """log10 of each target (ids; the tail's without its words) given its state."""
+    def log_probs(self, h: np.ndarray, target: np.ndarray, corpus: Corpus, logits: tuple | None = None) -> np.ndarray:
+        """log10 of each target (ids; the tail's without its words) given its state. logits: _joint() and the most that each gives."""
         n = len(h)
+        c, w, most_c, most_w = logits or self._logits()
         order, cls, cuts = self._by_class(target, corpus)
-        x = np.zeros((_padded(n), h.shape[1]), h.dtype)
-        np.take(h, order, axis=0, out=x[:n], mode="clip")
-        own, logits = np.empty(n, h.dtype), np.empty((ROWS, corpus.classes), h.dtype)
+        x = np.zeros((_padded(n), len(c)), h.dtype)
+        x[:n, :-1] = np.take(h, order, axis=0, mode="clip")
+        x[:, -1] = 1
+        own, room = np.empty(n, h.dtype), np.empty((ROWS, corpus.classes), h.dtype)
         for at in range(0, n, ROWS):
             part = x[at : at + ROWS]
-            now = logits[: len(part)]
-            _product(part, self.p["c"], out=now)
+            now = room[: len(part)]
+            _product(part, c, out=now)
             now = now[: n - at]
-            now += self.p["cb"]
             said = now[np.arange(len(now)), cls[at : at + ROWS]]
-            said -= np.log(_exp(now))
+            said -= np.log(_exp(now, most_c))
             own[at : at + ROWS] = said
         top = int(cuts[-1])
         if top:
             sizes = np.diff(cuts)
             starts = np.concatenate([[0], np.cumsum([_padded(k) for k in sizes])])
             at = np.arange(top) + np.repeat(starts[:-1] - cuts[:-1], sizes)
-            wide = np.zeros((int(starts[-1]), h.shape[1]), h.dtype)
+            wide = np.zeros((int(starts[-1]), len(c)), h.dtype)
             wide[at] = x[:top]
-            inner, total = np.empty((len(wide), CLASS), h.dtype), np.empty(len(wide), h.dtype)
-            said = np.empty(top, h.dtype)
-            for k in np.flatnonzero(sizes):
-                now = inner[starts[k] : starts[k + 1]]
-                _product(wide[starts[k] : starts[k + 1]], self.p["w"][k], out=now)
-                now += self.p["wb"][k]
-                own_words = slice(cuts[k], cuts[k + 1])
-                said[own_words] = now[np.arange(sizes[k]), target[order[own_words]] - k * CLASS]
-                total[starts[k] : starts[k + 1]] = _exp(now)
+            word, total = target[order[:top]] - cls[:top] * CLASS, np.empty(len(wide), h.dtype)
+            inner, said = np.empty((_padded(int(sizes.max())), CLASS), h.dtype), np.empty(top, h.dtype)
+            for k in np.flatnonzero(sizes).tolist():
+                now, own_words = inner[: starts[k + 1] - starts[k]], slice(cuts[k], cuts[k + 1])
+                _product(wide[starts[k] : starts[k + 1]], w[k], out=now)
+                said[own_words] = now[np.arange(sizes[k]), word[own_words]]
+                total[starts[k] : starts[k + 1]] = _exp(now, most_w)
             said -= np.log(total)[at]
             own[:top] += said
         out = np.empty(n)
@@ -257,15 +364,21 @@ class Network:
             fresh[: sizes[k], k] = False
             fresh[np.cumsum([0] + [len(d) for d in own[:-1]]), k] = True
         del loads, docs
-        #: All weights in one vector, and so their gradients and moments.
-        theta = np.concatenate([x.ravel() for x in self.p.values()])
-        slope, m, v, spare = np.empty_like(theta), np.zeros_like(theta), np.zeros_like(theta), np.empty(CHUNK, theta.dtype)
+        #: All weights but the inputs' in one vector, and so their gradients and moments.
+        n = self.hidden
+        parts = {k: self.p[k] for k in ("h", "b")} | dict(zip(("c", "w"), self._joint(), strict=True))
+        theta = np.concatenate([x.ravel() for x in parts.values()])
+        slope, m, v, spare = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta), np.empty(CHUNK, theta.dtype)
+        inputs, place = _Rows(self.p["x"].copy()), np.empty(corpus.inputs, np.int64)
         g, at = {}, 0
-        for k, x in self.p.items():
+        for k, x in parts.items():
             self.p[k], g[k] = (y[at : at + x.size].reshape(x.shape) for y in (theta, slope))
             at += x.size
+        joint = self.p["c"], self.p["w"]
+        self.p |= _parted(joint)
+        g |= {"joint": (joint, (g["c"], g["w"]))}
         chunks = [tuple(y[at : at + CHUNK] for y in (theta, slope, m, v)) for at in range(0, len(theta), CHUNK)]
-        n_updates, t, n = -(-length // WINDOW), 0, self.hidden
+        n_updates, t = -(-length // WINDOW), 0
         h = np.zeros((len(sizes), n), theta.dtype)
         for at in range(0, length, WINDOW):
             live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on
@@ -276,152 +389,157 @@ class Network:
             if at:
                 source[0] = words[at - 1, :live]
             source[new] = start
-            gates = np.take(self.p["x"], source, axis=0, mode="clip")
-            gates += self.p["b"]
-            against, add = np.negative(gates[..., : 2 * n]), gates[..., 2 * n :].copy()
+            seen = np.zeros(corpus.inputs, bool)
+            seen[source] = True
+            seen = np.flatnonzero(seen)
+            place[seen] = np.arange(len(seen))
+            source = place[source]
+            gates = np.empty((3, steps, live, n), theta.dtype)
+            for x, y in zip(self._input_gates(inputs.met(seen)), gates, strict=True):
+                np.take(x, source, axis=0, out=y, mode="clip")
+            g["x"] = np.zeros((len(seen), 3 * n), theta.dtype)
             hz, hc = self._state_weights()
-            zr, (before, c, u, states), begins = np.empty_like(against), (np.empty_like(add) for _ in range(4)), new.any(1)
-            h = h[:live]
+            states, u, both, begins = np.empty((steps + 1, live, n), theta.dtype), np.empty(gates.shape[1:], theta.dtype), np.empty((live, 2 * n), theta.dtype), np.flatnonzero(new.any(1)).tolist()
+            states[0] = h[:live]
             for s in range(steps):
-                before[s] = h
-                if begins[s]:
-                    before[s][new[s]] = 0
                 h = states[s]
-                _stepped(before[s], against[s], add[s], hz, hc, zr[s], c[s], u[s], h)
-            slope[:] = 0
+                if s in begins:
+                    h = h.copy()
+                    h[new[s]] = 0
+                _stepped(h, gates[:, s], hz, hc, both, u[s], states[s + 1])
+            h = states[steps].copy()
             target = np.where(own >= 0, corpus.target_of[own], -1).ravel()
-            _, dh = self._output_grads(states.reshape(-1, n), target, corpus, g)
-            self._backward((source, before, zr, c, u), new, dh.reshape(steps, live, n), g)
+            _, dh = self._output_grads(states[1:].reshape(-1, n), target, corpus, g)
+            states[:-1][new] = 0
+            self._backward((source, states[:-1], gates, u), new, dh.reshape(steps, live, n), g)
             t += 1
             lr = rate * (1 - 0.9 * (done + t / n_updates) / epochs)
-            share = min(1.0, 5.0 / (math.sqrt(float(slope @ slope)) + 1e-9))
+            share = min(1.0, 5.0 / (math.sqrt(float(slope @ slope) + float(g["x"].ravel() @ g["x"].ravel())) + 1e-9))
             if share < 1:
                 slope *= share
-            # m and v are kept as 10 and 1000 times the moments
+                g["x"] *= share
             root = math.sqrt(0.001 / (1 - 0.999**t))
-            for own_theta, own_slope, own_m, own_v in chunks:
-                x = spare[: len(own_m)]
-                own_m *= 0.9
-                own_m += own_slope
-                np.multiply(own_slope, own_slope, out=x)
-                own_v *= 0.999
-                own_v += x
-                np.sqrt(own_v, out=x)
-                x += 1e-6 / root
-                np.divide(own_m, x, out=x)
-                x *= 0.1 * lr / (1 - 0.9**t) / root
-                own_theta -= x
+            go, least = 0.1 * lr / (1 - 0.9**t) / root, 1e-6 / root
+            for own in chunks:
+                _moved(*own, spare[: len(own[0])], go, least)
+            slope[:] = 0
+            inputs.moved(seen, g["x"], go, least)
+        self.p["x"] = inputs.all()
 
     def _output_grads(self, h: np.ndarray, target: np.ndarray, corpus: Corpus, g: dict | None = None):
-        live = np.flatnonzero(target >= 0)
+        """Adds to g (zeros at first) the slopes of logits' weights; also returns those of states h. g["joint"]: _joint() and room for its slopes, of which c, cb, w and wb are parts."""
+        live, n = np.flatnonzero(target >= 0), h.shape[1]
         if g is None:
-            g = {k: np.zeros_like(x) for k, x in self.p.items()}
+            g = {k: np.zeros_like(self.p[k]) for k in ("x", "h", "b")} | _slopes(self._joint())
         dh = np.zeros_like(h)
         if not len(live):
             return g, dh
         order, cls, cuts = self._by_class(target[live], corpus)
         live = live[order]
-        x, y, scale = np.take(h, live, axis=0, mode="clip"), target[live], h.dtype.type(1 / len(live))
-        ones = np.ones(len(x), h.dtype)
-        p = x @ self.p["c"]
-        p += self.p["cb"]
-        _softmax(p, scale)
+        x, y, scale = np.ones((len(live), n + 1), h.dtype), target[live], h.dtype.type(1 / len(live))
+        x[:, :n] = np.take(h, live, axis=0, mode="clip")
+        (c, w), (of_c, of_w) = g["joint"]
+        p = x @ c
+        _softmax(p, scale, _most(c))
         p[np.arange(len(x)), cls] -= scale
-        np.matmul(x.T, p, out=g["c"])
-        np.matmul(ones, p, out=g["cb"])
-        d = p @ self.p["c"].T
+        of_c[:] = _gram(x, p)
+        d = p @ c[:n].T
         top, used = int(cuts[-1]), np.flatnonzero(np.diff(cuts))
         if top:
-            q = np.empty((top, CLASS), h.dtype)
-            parts = [(k, slice(cuts[k], cuts[k + 1])) for k in used.tolist()]
+            q, inner = np.empty((top, CLASS), h.dtype), np.empty((top, n), h.dtype)
+            parts = [(k, slice(a, b)) for k, a, b in zip(used.tolist(), cuts[used].tolist(), cuts[used + 1].tolist(), strict=True)]
             for k, part in parts:
-                np.matmul(x[part], self.p["w"][k], out=q[part])
-                q[part] += self.p["wb"][k]
-            _softmax(q, scale)
+                np.matmul(x[part], w[k], out=q[part])
+            _softmax(q, scale, _most(w))
             q[np.arange(top), y[:top] - cls[:top] * CLASS] -= scale
             for k, part in parts:
-                np.matmul(ones[part], q[part], out=g["wb"][k])
-                np.matmul(x[part].T, q[part], out=g["w"][k])
-                d[part] += q[part] @ self.p["w"][k].T
+                np.matmul(x[part].T, q[part], out=of_w[k])
+                np.matmul(q[part], w[k, :n].T, out=inner[part])
+            d[:top] += inner
         dh[live] = d
         return g, dh
 
-    def _backward(self, kept: list | tuple, fresh: np.ndarray, dh_out: np.ndarray, g: dict) -> None:
-        """kept: what step() returned, step by step, or for all steps at once."""
-        source, before, zr, c, u = kept if isinstance(kept, tuple) else (np.stack(x) for x in zip(*kept, strict=True))
-        n, back, begins = self.hidden, self.p["h"].T.copy(), fresh.any(1)
-        z, r = zr[..., :n], zr[..., n:]
+    def _backward(self, kept: list | tuple, fresh: np.ndarray, dh: np.ndarray, g: dict) -> None:
+        """kept: what step() returned, step by step, or for all steps at once; dh: slopes of the states, written over."""
+        source, before, (z, r, c), u = kept if isinstance(kept, tuple) else (np.stack(x, axis=k == 2) for k, x in enumerate(zip(*kept, strict=True)))
+        n, back, begins = self.hidden, self.p["h"].T.copy(), set(np.flatnonzero(fresh.any(1)).tolist())
         # what a unit of the state's slope adds to the slopes of both gates and of the state's part of the new value, and leaves to the step before
         of_new, leaves = c * c, 1 - z
         np.subtract(1, of_new, out=of_new)
         of_new *= z
         each = np.empty((*c.shape[:2], 3, n), c.dtype)
-        x = c - before
+        x, y = c - before, of_new * r
         x *= z
         np.multiply(x, leaves, out=each[:, :, 0])
-        np.multiply(of_new, r, out=each[:, :, 2])
+        each[:, :, 2] = y
         np.subtract(1, r, out=x)
         x *= u
-        np.multiply(x, each[:, :, 2], out=each[:, :, 1])
-        slopes, dh = np.empty_like(c), np.zeros_like(dh_out[0])
+        np.multiply(x, y, out=each[:, :, 1])
+        last, left = np.zeros_like(dh[0]), np.empty_like(dh[0])
         for s in range(len(c) - 1, -1, -1):
-            own, du = slopes[s], each[s]
-            np.add(dh, dh_out[s], out=own)
+            own, du = dh[s], each[s]
+            own += last
             du *= own[:, None]
-            np.matmul(du.reshape(len(own), 3 * n), back, out=dh)
-            leaves[s] *= own
-            dh += leaves[s]
-            if begins[s]:
-                dh[fresh[s]] = 0
+            np.matmul(du.reshape(len(own), 3 * n), back, out=last)
+            np.multiply(leaves[s], own, out=left)
+            last += left
+            if s in begins:
+                last[fresh[s]] = 0
         du = each.reshape(-1, 3 * n)
-        g["h"] += before.reshape(-1, n).T @ du
-        of_new *= slopes
+        g["h"] += _gram(before.reshape(-1, n), du)
+        of_new *= dh
         each[:, :, 2] = of_new  # from here on of what comes in by the word
-        g["b"] += np.ones(len(du), du.dtype) @ du
-        x = source.ravel()
-        order = np.argsort(x.astype(np.uint16), kind="stable")
-        x = x[order]
-        starts = np.flatnonzero(np.diff(x, prepend=-1))
-        pairs = np.take(du, order, axis=0, mode="clip").view(np.result_type(du.dtype, np.complex64))  # two numbers at a time
-        g["x"][x[starts]] += np.add.reduceat(pairs, starts).view(du.dtype)
+        words, sums = _summed(source.ravel(), du)
+        if len(words) == len(g["x"]):
+            g["x"] += sums
+        else:
+            g["x"][words] += sums
+        g["b"] += np.ones(len(sums), sums.dtype) @ sums
 
     def score(self, docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
-        """log10 probability of each document (ids), the words of the tail left to their counts."""
-        out, n = np.zeros(len(docs)), self.hidden
-        order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
-        gates, start = self.p["x"] + self.p["b"], corpus.inputs - 1
-        gates[:, : 2 * n] *= -1
-        hz, hc = self._state_weights()
-        for at in range(0, len(order), SIDE):
-            lanes = order[at : at + SIDE]
-            sizes = np.array([len(docs[k]) for k in lanes])
-            h, last = np.zeros((_padded(len(lanes)), n), gates.dtype), np.full(_padded(len(lanes)), start, np.int32)
-            zr, (c, u) = np.empty((len(h), 2 * n), h.dtype), (np.empty_like(h) for _ in range(2))
-            for s in range(0, int(sizes[0]), STEPS):
-                live = int(np.searchsorted(-sizes, -s, "left"))  # lanes that go on
-                block = np.full((STEPS, _padded(live)), -1, np.int32)
-                for k in range(live):
-                    part = docs[lanes[k]][s : s + STEPS]
-                    block[: len(part), k] = part
-                left = (block[:, :live] >= 0).sum(1).tolist()
-                source = np.empty_like(block)
-                source[0] = last[: block.shape[1]]
-                source[1:] = np.where(block[:-1] < 0, start, corpus.input_of[block[:-1]])
-                last = np.where(block[-1] < 0, start, corpus.input_of[block[-1]])
-                states, said, who, now = [], [], [], h
-                for x, y, m in zip(source, block, left, strict=True):
-                    if m == 0:
-                        break
-                    wide = _padded(m)
-                    gx, after = np.take(gates, x[:wide], axis=0, mode="clip"), np.empty((wide, n), h.dtype)
-                    _stepped(now[:wide], gx[:, : 2 * n], gx[:, 2 * n :], hz, hc, zr[:wide], c[:wide], u[:wide], after, _product)
-                    now = after
-                    states.append(now[:m])
-                    said.append(y[:m])
-                    who.append(np.arange(m))
-                logs = self.log_probs(np.concatenate(states), np.concatenate(said), corpus)
-                out[lanes[:live]] += np.bincount(np.concatenate(who), weights=logs, minlength=live)
-                h = now
+        """log10 probability of each document (ids), the words of the tail left to their counts. Lanes read document after document, as few as make no lane wait for the longest document."""
+        out, n, start = np.zeros(len(docs)), self.hidden, corpus.inputs - 1
+        if not len(docs):
+            return out
+        lengths = [len(d) for d in docs]
+        lanes = min(SIDE, -(-sum(lengths) // max(lengths)))
+        heap, loads = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for d in sorted(range(len(docs)), key=lambda d: -lengths[d]):
+            size, k = heap[0]
+            loads[k].append(d)
+            heapq.heapreplace(heap, (size + lengths[d], k))
+        loads.sort(key=lambda x: -sum(lengths[d] for d in x))
+        sizes = np.array([sum(lengths[d] for d in x) for x in loads])
+        words = [np.concatenate([docs[d] for d in x]) for x in loads]
+        whose = [np.repeat(np.array(x, np.int32), [lengths[d] for d in x]) for x in loads]
+        gates, logits, (hz, hc) = self._input_gates(), self._logits(), self._state_weights()
+        h = np.zeros((_padded(lanes), n), gates.dtype)
+        both, u = np.empty((len(h), 2 * n), h.dtype), np.empty_like(h)
+        at = 0
+        while at < sizes[0]:
+            live = int(np.searchsorted(-sizes, -at, "left"))  # lanes that go on
+            wide = _padded(live)
+            steps = min(max(STEPS, SIDE * STEPS // wide), int(sizes[0]) - at)
+            block, owner = (np.full((steps + 1, wide), -1, np.int32) for _ in range(2))  # from the step before on
+            before = min(at, 1)
+            for k in range(live):
+                part = slice(at - before, at + steps)
+                cells = slice(1 - before, 1 - before + len(words[k][part]))
+                block[cells, k], owner[cells, k] = words[k][part], whose[k][part]
+            goes_on = (block[:-1] >= 0) & (owner[1:] == owner[:-1])
+            source = np.where(goes_on, corpus.input_of[block[:-1]], start)
+            block, owner = block[1:], owner[1:]
+            read = block >= 0
+            new = read & ~goes_on
+            states, h = np.empty((steps, wide, n), h.dtype), h[:wide]
+            for s, begins in enumerate(new.any(1).tolist()):
+                if begins:
+                    h = h.copy()
+                    h[new[s]] = 0
+                _stepped(h, np.take(gates, source[s], axis=1, mode="clip"), hz, hc, both[:wide], u[:wide], states[s], _product)
+                h = states[s]
+            np.add.at(out, owner[read], self.log_probs(states[read], block[read], corpus, logits))  # one after another, whatever stands beside
+            at += steps
         return out
 
 

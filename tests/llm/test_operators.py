@@ -733,6 +733,50 @@ def test_language_model_gradients():
             assert (up - down) / (2 * eps) == pytest.approx(g[name].ravel()[k], rel=2e-2, abs=2e-4)
 
 
+def test_language_model_learns_as_by_plain_adam(monkeypatch):
+    counts, r = np.array([9, 7, 5, 4, 3, 2, 1], np.int64), np.random.default_rng(3)
+    c = language_model.Corpus([b"", b"a", b"b", b"c", b"d", b"e", b"f"], counts, 40, 12)
+    net, plain = language_model.Network(c, hidden=4), language_model.Network(c, hidden=4)
+    net.p, plain.p = ({k: x.astype(np.float64) for k, x in net.p.items()} for _ in range(2))
+    first, docs_ = {k: x.copy() for k, x in net.p.items()}, [r.integers(0, 3, 300), r.integers(0, c.inputs - 1, 200)]
+    monkeypatch.setattr(language_model, "LANES", 1)
+    net.learn(docs_, c)
+    words_, source = np.concatenate(docs_), np.concatenate([[c.inputs - 1], docs_[0][:-1], [c.inputs - 1], docs_[1][:-1]])
+    m, v = ({k: np.zeros_like(x) for k, x in plain.p.items()} for _ in range(2))
+    h, n = np.zeros((1, 4)), -(-len(words_) // language_model.WINDOW)
+    for t in range(1, n + 1):
+        at = range((t - 1) * language_model.WINDOW, min(t * language_model.WINDOW, len(words_)))
+        kept, states = [], []
+        for k in at:
+            h, x = plain.step(source[k : k + 1], h * (k != 300))
+            kept.append(x)
+            states.append(h)
+        g, dh = plain._output_grads(np.concatenate(states), c.target_of[words_[at.start : at.stop]], c)
+        plain._backward(kept, np.array([[k in (0, 300)] for k in at]), dh.reshape(-1, 1, 4), g)
+        share = min(1, 5 / math.sqrt(sum((g[k] ** 2).sum() for k in m)))
+        for k in m:
+            m[k] = 0.9 * m[k] + 0.1 * share * g[k]
+            v[k] = 0.999 * v[k] + 0.001 * (share * g[k]) ** 2
+            plain.p[k] -= language_model.RATE * (1 - 0.9 * t / n / language_model.EPOCHS) * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-6)
+    for k in m:
+        assert np.abs(plain.p[k] - first[k]).max() > 0.02
+        assert net.p[k] == pytest.approx(plain.p[k], abs=2e-5)
+
+
+def test_rows_met_late_have_moved_on():
+    r = np.random.default_rng(0)
+    plain = r.normal(size=(50, 6))
+    rows, m, v = language_model._Rows(plain.copy()), np.zeros_like(plain), np.zeros_like(plain)
+    for t in range(1, 300):
+        seen, g, root = np.flatnonzero(r.random(50) < np.linspace(0.9, 0.005, 50)), np.zeros_like(plain), math.sqrt(0.001 / (1 - 0.999**t))
+        assert rows.met(seen) == pytest.approx(plain[seen], abs=1e-3)
+        g[seen] = 0.01 * r.normal(size=(len(seen), 6))
+        step = 0.001 / (1 - 0.9**t) / root, 1e-6 / root
+        language_model._moved(plain, g, m, v, np.empty_like(g), *step)
+        rows.moved(seen, g[seen], *step)
+    assert rows.all() == pytest.approx(plain, abs=1e-3)
+
+
 def test_probabilities_sum_to_one():
     counts = np.array([9, 7, 5, 4, 3, 2, 1], np.int64)
     c = language_model.Corpus([b"", b"a", b"b", b"c", b"d", b"e", b"f"], counts, 40, 12)
@@ -843,6 +887,21 @@ def test_language_model_scores_a_text_alone_as_among_others():
     assert all(net.score([docs_[k]], c)[0] == among[k] for k in range(0, 700, 23))
 
 
+def test_language_model_lanes_dont_wait_for_the_longest_text(monkeypatch):
+    r, rows = np.random.default_rng(11), []
+    counts = np.sort(r.integers(1, 900, 3000))[::-1].astype(np.int64)
+    c = language_model.Corpus([f"w{k}".encode() for k in range(3000)], counts, int(counts.sum()) + 500, 3200)
+    net = language_model.Network(c)
+    net.p = {k: x + 0.3 * r.standard_normal(x.shape).astype(np.float32) for k, x in net.p.items()}
+    docs_ = [r.integers(0, 3001, n).astype(np.int32) for n in [2000, *r.integers(1, 60, 600)]]
+    alone = [net.score([d], c)[0] for d in docs_[::60]]
+    log_probs = net.log_probs
+    monkeypatch.setattr(net, "log_probs", lambda h, *a: (rows.append(len(h)), log_probs(h, *a))[1])
+    assert net.score(docs_, c)[::60].tolist() == alone
+    assert len(rows) <= 3 and sum(rows) == sum(map(len, docs_))  # in lanes of a text each, 63 calls and more
+    assert net.score([], c).tolist() == []
+
+
 @pytest.mark.parametrize("head", [language_model.HEAD, 1])
 def test_language_model_without_ids_or_training_rows(spark, head):
     schema = "doc_id long, text string, word string, c long"
