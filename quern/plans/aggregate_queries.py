@@ -109,7 +109,11 @@ def min_max(spark, d):
 
 @query("SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest FROM customer GROUP BY c_mktsegment")
 def max_by_min_by(spark, d):
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"))
+    """Of equal balances the first row of the table counts, as for arg_max in one thread; rows without a key or a balance don't, and NaN is the highest."""
+    bal, at = F.col("c_acctbal"), (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    whole = bal.isNotNull() & F.col("c_custkey").isNotNull()
+    c = table(spark, d, "customer").select("c_mktsegment", "c_custkey", F.when(whole, F.struct(~F.isnan(bal), -bal, *at)).alias("down"), F.when(whole, F.struct(bal, *at)).alias("up"))
+    return c.groupBy("c_mktsegment").agg(F.min_by("c_custkey", "down").alias("richest"), F.min_by("c_custkey", "up").alias("poorest"))
 
 
 @query("SELECT n_regionkey, min(r) AS arbitrary_name FROM (SELECT n_regionkey, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY n_regionkey")

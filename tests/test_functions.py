@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import custom, registry
 from quern.operators import bitmap, dictionary, joins, process
-from quern.plans import scalar_queries
+from quern.plans import catalog, scalar_queries
 from quern.sources import files
 from quern.streaming import batches
 
@@ -277,3 +277,16 @@ def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
     run()
     put([("a", at(1, 10), 100.0), ("a", at(9), 8.0)])  # the first is later than is waited for
     assert run() == {("a", 2, 3.0), ("a", 1, 4.0)}
+
+
+def test_max_by_takes_the_first_of_ties(spark, tmp_path):
+    """As its SQL in one thread: ties, nulls on either side, NaN, zeros of both signs, a group of which nothing counts."""
+    import duckdb
+
+    nan = float("nan")
+    rows = [(7, 1.0, "a"), (3, 5.0, "a"), (1, 5.0, "a"), (9, 1.0, "a"), (None, 9.0, "a"), (None, -9.0, "a"), (2, None, "a"), (6, nan, "b"), (5, 0.0, "b"), (4, nan, "b"), (8, -0.0, "b"), (None, nan, "c"), (1, None, "c"), (2, 4.0, None), (1, 4.0, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    duck = duckdb.connect(config={"threads": 1})
+    duck.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    found = {tuple(r) for r in catalog.QUERIES["max_by_min_by"](spark, str(tmp_path)).collect()}
+    assert found == set(duck.sql(catalog.ORACLE_SQL["max_by_min_by"]).fetchall()) == {("a", 3, 7), ("b", 6, 5), ("c", None, None), (None, 2, 2)}
