@@ -10,8 +10,9 @@ table slot that many fingerprints share yields a spanning forest of its links,
 not all pairs; components follow from the links.
 
 The pipeline's stage compares whole texts by wider fingerprints (see
-distinct_documents): 256 bits of five-word shingles, eight segments of 24 bits,
-balls of radius 2 about them, and distances over all 256 bits.
+distinct_documents): 256 bits of five-word shingles, 16 segments of 16 bits, balls
+of radius 2 about them, which miss no pair within 44 bits, and distances over all
+256 bits.
 
 Defined results: a null text is empty; no words give fingerprint zero, linked
 like any other; a null doc_id is never the smallest of a component unless alone;
@@ -21,6 +22,7 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,12 +191,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "version", "fp", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-#: Of the wide fingerprints: words of a shingle, bits in which they may differ, and segments of three bytes.
+#: Of the wide fingerprints: words of a shingle, bits in which they may differ, and segments of two bytes: of 16 segments one has at most two of 44 differing bits.
 #: Texts whose five-word shingles have a Jaccard likeness of 0.8 differ in 39 of the 256 bits on average, with a standard deviation of 6.
 WIDE_SHINGLE, WIDE_RADIUS = 5, 44
-WIDE_SEGMENTS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13, 14), (0, 3, 15), (1, 6, 9), (4, 7, 12))
-#: Table rows of a range, on average: a task links range after range.
-WIDE_RANGE = 2 << 20
+WIDE_SEGMENTS = tuple((k, k + 1) for k in range(0, 32, 2))
+#: Bits by which the two segments of each of the eight 32-bit words may differ. If all words differed by more than their two numbers and one,
+#: 5 times 6 and 3 times 5 bits would, which is 45; in a word that doesn't, one segment differs by its number at most. So no pair within the radius is missed.
+WIDE_WORDS = ((2, 2),) * 5 + ((2, 1),) * 3
+#: Fingerprints of a block, on average at most, and of one that isn't cut further. A task compares two blocks.
+WIDE_RANGE, WIDE_LEAST = 1 << 18, 1 << 12
+#: Pairs of fingerprints that a task looks at in one step, and links that it holds before they are joined.
+WIDE_STEP, WIDE_HELD = 1 << 15, 1 << 14
 
 
 def wide_fingerprints(texts: list[bytes], shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -231,85 +238,113 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("row_key")), pa.array(node_of(fp)), pa.array([x.tobytes() for x in fp], pa.binary())], ["row_key", "node", "fp"])
 
 
-_RECORD = np.dtype([("key", "<u4"), ("fp", "<u8", 4)])
-
-
-def _wide_filed(parts: int, each: int):
-    """Fingerprints under every segment and all that differ from it in one bit, so that those two bits apart meet as well; packed by range of slots."""
+def _wide_dealt(blocks: int):
+    """Fingerprints in blocks by hash, each sent to all pairs of blocks that have it; packed by pair and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.concatenate([[0], 1 << np.arange(24)]).astype(np.uint32)
         for b in slices(batches, 2048):
             fp = np.frombuffer(b"".join(b.column(b.schema.names.index("fp")).to_pylist()), np.uint64).reshape(-1, 4)
-            octets = fp.view(np.uint8).reshape(-1, 32).astype(np.uint32)
-            out = np.empty((len(WIDE_SEGMENTS), len(fp), 25), _RECORD)
-            for t, (i, j, k) in enumerate(WIDE_SEGMENTS):
-                out[t]["key"] = (t << 24 | octets[:, i] << 16 | octets[:, j] << 8 | octets[:, k])[:, None] ^ flips
-            out["fp"] = fp[None, :, None]
-            out = out.ravel()
-            to = ((mix64(out["key"]) >> np.uint64(32)) * np.uint64(parts * each) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            out, cuts = out[order], np.searchsorted(to[order], np.arange(parts * each + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            for k in range(0, len(full), 64):
-                some = full[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array((some // each).astype(np.int32)), pa.array(some.astype(np.int32)), pa.array([out[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary())], ["part", "range", "rows"])
+            at = (mix64(node_of(fp)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+            for k in np.unique(at).tolist():
+                pairs = [i * blocks - i * (i - 1) // 2 + j - i for i, j in ((min(k, x), max(k, x)) for x in range(blocks))]
+                rows = fp[at == k].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array([k] * blocks, pa.int32()), pa.array([rows] * blocks, pa.binary())], ["pair", "block", "rows"])
 
     return run
 
 
 def _wide_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one range of slots after another; rows come sorted by range."""
-    now, held = None, []
+    """Links of one pair of blocks after another; rows come sorted by pair and block."""
+    now, held = None, {}
     for b in batches:
         for r in b.to_pylist():
-            if r["range"] != now:
-                yield from _wide_slots(held)
-                now, held = r["range"], []
-            held.append(r["rows"])
-    yield from _wide_slots(held)
+            if r["pair"] != now:
+                yield from _wide_blocks(held)
+                now, held = r["pair"], {}
+            held.setdefault(r["block"], []).append(r["rows"])
+    yield from _wide_blocks(held)
 
 
-def _wide_slots(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-    if not held:
+def _wide_blocks(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what all links between two blocks, or in a single one, connect: of each group, its first member to all others."""
+    blocks = [np.frombuffer(b"".join(x), np.uint64).reshape(-1, 4) for x in held.values()]
+    if not blocks:
         return
-    rows = np.frombuffer(b"".join(held), _RECORD)
-    held.clear()
-    order = np.argsort(rows["key"], kind="stable")
-    key = rows["key"][order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(key)]]))
-    shared = np.repeat(sizes > 1, sizes)
-    key, order = key[shared], order[shared]
-    fp = rows["fp"][order]
-    sizes = sizes[sizes > 1]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    a, b = [], []
-    few = np.repeat(sizes <= SMALL, sizes)
-    key_few, fp_few = key[few], fp[few]
-    for d in range(1, SMALL):
-        if len(key_few) <= d:
-            break
-        at = np.flatnonzero(key_few[:-d] == key_few[d:])
-        at = at[np.bitwise_count(fp_few[at] ^ fp_few[at + d]).sum(1, dtype=np.int64) <= WIDE_RADIUS]
-        a.append(node_of(fp_few[at]))
-        b.append(node_of(fp_few[at + d]))
-    for k in np.flatnonzero(sizes > SMALL):
-        left = np.unique(fp[starts[k] : starts[k] + sizes[k]], axis=0)
-        while len(left) > 1:  # a forest connects what all pairs would
-            todo, left = [left[0]], left[1:]
-            while todo and len(left):
-                x = todo.pop()
-                near = np.bitwise_count(left ^ x).sum(1, dtype=np.int64) <= WIDE_RADIUS
-                if near.any():
-                    b.append(node_of(left[near]))
-                    a.append(np.repeat(node_of(x[None]), len(b[-1])))
-                    todo += list(left[near])
-                    left = left[~near]
-    if a:
-        pairs = np.stack([np.concatenate(a), np.concatenate(b)])
-        pairs = np.unique(np.stack([pairs.max(0), pairs.min(0)]), axis=1) if pairs.shape[1] else pairs
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], ["a", "b"])
+    x, y, shift = blocks[0], blocks[-1], len(blocks[0]) if len(blocks) > 1 else 0
+    fp = np.concatenate(blocks)
+    label = np.arange(len(fp))
+    a, b, n = [], [], 0
+    for i, j in _wide_near(x, y):
+        new = label[i] != label[j + shift]  # what earlier links connect needs no more
+        i, j = i[new], j[new]
+        near = np.bitwise_count(x[i] ^ y[j]).sum(1, dtype=np.int64) <= WIDE_RADIUS
+        a.append(i[near])
+        b.append(j[near] + shift)
+        n += len(a[-1])
+        if n >= WIDE_HELD:
+            label, a, b, n = _united(label, np.concatenate(a), np.concatenate(b)), [], [], 0
+    if n:
+        label = _united(label, np.concatenate(a), np.concatenate(b))
+    other = np.flatnonzero(label != np.arange(len(label)))
+    if len(other):
+        yield pa.RecordBatch.from_arrays([pa.array(node_of(fp[other])), pa.array(node_of(fp[label[other]]))], ["a", "b"])
+
+
+def _wide_near(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and of y that WIDE_WORDS lets through, among them all within the radius; some come repeatedly."""
+    for word, most in enumerate(WIDE_WORDS):
+        px, py = (np.ascontiguousarray(z.view(np.uint32)[:, word]) for z in (x, y))
+        for half in range(2):
+            kx, ky = ((z >> np.uint32(16 * half)).astype(np.uint16) for z in (px, py))
+            ox, oy = np.argsort(kx, kind="stable"), np.argsort(ky, kind="stable")
+            slot, wx, wy = kx[ox].astype(np.int64), px[ox], py[oy]
+            sizes = np.bincount(ky, minlength=1 << 16)
+            starts = np.cumsum(sizes) - sizes
+            flips = [f for f in range(1 << 16) if f.bit_count() <= most[half]]
+            rows = max(1024, (WIDE_STEP << 16) // max(len(y), 1 << 16))
+            for k in range(0, len(slot), rows):
+                for f in flips:
+                    other = slot[k : k + rows] ^ f
+                    n = sizes[other]
+                    to, lo = np.cumsum(n), 0
+                    while lo < len(n):  # once, unless slots are crowded
+                        done = int(to[lo - 1]) if lo else 0
+                        hi = len(n) if to[-1] - done <= 4 * WIDE_STEP else max(lo + 1, int(np.searchsorted(to, done + 4 * WIDE_STEP, "right")))
+                        m, end = n[lo:hi], to[lo:hi] - done
+                        at = np.repeat(starts[other[lo:hi]] - end + m, m)
+                        at += np.arange(len(at))
+                        hit = np.flatnonzero(np.bitwise_count(wy[at] ^ np.repeat(wx[k + lo : k + hi], m)) <= sum(most) + 1)
+                        if len(hit):
+                            yield ox[k + lo + np.searchsorted(end, hit, "right")], oy[at[hit]]
+                        lo = hi
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, by which each place has the first of its group, after the groups of a and b have become one, pair by pair."""
+    roots, at = np.unique(np.concatenate([label[a], label[b]]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(roots))
+    while (least[x] != least[y]).any():
+        lx, ly = least[x], least[y]
+        low = np.minimum(lx, ly)
+        np.minimum.at(least, lx, low)
+        np.minimum.at(least, ly, low)
+        while (least != least[least]).any():
+            least = least[least]
+    to = np.arange(len(label))
+    to[roots] = roots[least]
+    return to[label]
+
+
+def wide_links(distinct: DataFrame) -> DataFrame:
+    """distinct (node, fp of 32 bytes) to links (a, b) of nodes that connect all fingerprints within the radius of each other.
+
+    Every pair of blocks is searched, so that work grows with the square of distinct fingerprints, of which pairs about a fortieth are looked at.
+    """
+    parts, count = partitions(distinct.sparkSession), distinct.count()
+    blocks = max(1, -(-count // WIDE_RANGE), min(-(-count // WIDE_LEAST), math.ceil(math.sqrt(2 * parts))))
+    dealt = distinct.select("node", "fp").repartition(parts, "node").select("fp").mapInArrow(_wide_dealt(blocks), "pair int, block int, rows binary")
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, F.col("pair")).sortWithinPartitions("pair", "block").mapInArrow(_wide_linked, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -318,11 +353,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = stored(rows.mapInArrow(_wide, "row_key struct<id: long, version: long>, node long, fp binary"))
     named = F.min(F.when(F.col("row_key.id").isNotNull(), F.col("row_key")))
     distinct = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), named.alias("first"), F.min("row_key").alias("any")))
-    parts = partitions(docs.sparkSession)
-    each = max(1, -(-distinct.count() * len(WIDE_SEGMENTS) * 25 // (WIDE_RANGE * parts)))
-    filed = distinct.select("node", "fp").repartition(parts, "node").select("fp").mapInArrow(_wide_filed(parts, each), "part int, range int, rows binary")
-    links = filed.repartitionById(parts, F.col("part")).sortWithinPartitions("range").mapInArrow(_wide_linked, "a long, b long")
-    found = components(links).withColumnRenamed("node", "found")
+    found = components(wide_links(distinct)).withColumnRenamed("node", "found")
     labelled = stored(distinct.join(found, F.col("node") == F.col("found"), "left").select("node", "first", "any", F.coalesce("root", "node").alias("label")))
     least = stored(labelled.groupBy("label").agg(F.coalesce(F.min("first"), F.min("any")).alias("best")))
     by_node = stored(labelled.join(least.hint("merge"), "label").select("node", "best"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import corpus, frame, words
@@ -918,3 +919,83 @@ def test_frequent_words_by_a_cut_of_counts(spark):
     df = spark.createDataFrame(counts, "word binary, c long")
     found = lambda n: [(bytes(r["word"]), r["c"]) for r in language_model.frequent(df, n)]
     assert found(99) == counts and found(8) == counts[:7] and found(5) == counts[:3] and found(1) == []
+
+
+def within_radius(fps):
+    """Of each wide fingerprint, the least that links lead to, whatever segments they have in common."""
+    words = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 4)
+    label = np.arange(len(fps))
+    near = [np.flatnonzero(np.bitwise_count(words ^ x).sum(1) <= 44) for x in words]
+    while True:
+        now = np.array([label[x].min() for x in near])
+        if (now == label).all():
+            return {f: fps[k] for f, k in zip(fps, label, strict=True)}
+        label = now
+
+
+def grouped(pairs, names):
+    """Sets of names that pairs connect."""
+    group = {x: {x} for x in names}
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return {frozenset(x) for x in group.values()}
+
+
+@pytest.mark.parametrize(("block", "least", "step"), [(1 << 18, 1 << 12, 1 << 15), (90, 20, 1 << 15), (1 << 18, 1 << 12, 8)])
+def test_wide_links_miss_no_pair_within_the_radius(spark, monkeypatch, block, least, step):
+    """44 bits apart wherever they lie, also 2 or 3 in every segment; chains, and a crowd that is linked all to all."""
+    monkeypatch.setattr(simhash_dedup, "WIDE_RANGE", block)
+    monkeypatch.setattr(simhash_dedup, "WIDE_LEAST", least)
+    monkeypatch.setattr(simhash_dedup, "WIDE_STEP", step)
+    r = np.random.default_rng(21)
+
+    def flipped(x, bits):
+        out = bytearray(x)
+        for k in bits:
+            out[k // 8] ^= 1 << k % 8
+        return bytes(out)
+
+    fps = [bytes(32), b"\xff" * 32]
+    for k in range(120):
+        x = r.bytes(32)
+        even = [16 * t + v for t in range(16) for v in r.permutation(16)[: 3 if t % 4 else 2]]  # 12 times 3 and 4 times 2
+        fps += [x, flipped(x, even if k % 2 else r.permutation(256)[: 43 + k % 3])]
+    for _ in range(6):
+        fps.append(flipped(fps[-1], r.permutation(256)[:44]))
+    crowd = r.bytes(32)
+    fps += [flipped(crowd, r.permutation(256)[:5]) for _ in range(150)]
+    fps = sorted(set(fps))
+    nodes = simhash_dedup.node_of(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 4)).tolist()
+    expected = grouped([(f, x) for f, x in within_radius(fps).items()], fps)
+    assert max(len(x) for x in expected) == 150 and sum(len(x) == 2 for x in expected) >= 90
+    name = dict(zip(nodes, fps, strict=True))
+    table = spark.createDataFrame(list(name.items()), "node long, fp binary")
+    if block < len(fps) or step < 1 << 15:
+        dealt = [b for b in simhash_dedup._wide_dealt(5)(iter([pa.record_batch({"fp": pa.array(fps, pa.binary())})]))]
+        rows = sorted(((x["pair"], x["block"], x["rows"]) for b in dealt for x in b.to_pylist()), key=lambda x: x[:2])
+        ordered = pa.record_batch({k: pa.array(v, t) for k, v, t in zip(("pair", "block", "rows"), zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)})
+        here = [(x["a"], x["b"]) for b in simhash_dedup._wide_linked(iter([ordered])) for x in b.to_pylist()]
+        assert len({x[0] for x in rows}) == 15 and len(here) < 5 * len(fps)
+        assert grouped([(name[a], name[b]) for a, b in here], fps) == expected
+    found = [(x["a"], x["b"]) for x in simhash_dedup.wide_links(table).collect()]
+    assert grouped([(name[a], name[b]) for a, b in found], fps) == expected
+    assert simhash_dedup.wide_links(table.limit(0)).count() == 0
+
+
+def test_near_copies_are_all_texts_within_the_radius(spark):
+    """Edited texts, some of which have no 24 bits of the first 128 in common but for two."""
+    r = np.random.default_rng(22)
+    texts = [" ".join(f"v{x}" for x in r.integers(0, 3000, 300)) for _ in range(60)]
+    texts += [edited(r, t, 0.022) for t in texts]
+    fps = [f.tobytes() for f in simhash_dedup.wide_fingerprints([t.encode() for t in texts])]
+    label = within_radius(sorted(set(fps)))
+    first = {}
+    for k, f in enumerate(fps):
+        first.setdefault(label[f], k)
+    kept = simhash_dedup.distinct_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(first.values())
+    assert 65 < len(first) < 115
+    assert sum(a + b + 2 for a, b in simhash_dedup.WIDE_WORDS) == simhash_dedup.WIDE_RADIUS + 1
