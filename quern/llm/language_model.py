@@ -24,6 +24,7 @@ whatever their names.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import pickle
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ SHARD = 1_000_000
 LANES, WINDOW, EPOCHS, RATE = 64, 32, 3, 0.01
 #: Lanes that score side by side at most, and steps of so many whose states are kept.
 SIDE, STEPS = 512, 32
+#: Tokens from which texts are scored together: as lanes don't wait for the longest text, few texts have few lanes, and a step costs as much.
+TOGETHER = 4_000_000
 #: Stands for the end of a document among the words.
 END = b""
 #: The largest logit: its exponential is summed in single precision.
@@ -123,8 +126,7 @@ class Corpus:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get, n = self.rank.get, len(self.words)
-        out = np.fromiter((get(w, n) for w in words), np.int32, len(words))
-        return np.append(out, np.int32(get(END, n)))
+        return np.fromiter(map(get, itertools.chain(words, (END,)), itertools.repeat(n)), np.int32, len(words) + 1)
 
 
 def _exp(x: np.ndarray, most: float = np.inf) -> np.ndarray:
@@ -172,20 +174,20 @@ def _product(x: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
     np.matmul(x.reshape(-1, BLOCK, x.shape[-1]), w, out=out.reshape(-1, BLOCK, out.shape[-1]))
 
 
-def _stepped(h: np.ndarray, gates: np.ndarray, hz: np.ndarray, hc: np.ndarray, both: np.ndarray, u: np.ndarray, after: np.ndarray, product=np.matmul) -> None:
-    """One step from h to after. gates (3, rows, units): what inputs take from both gates and give to the new value; becomes both gates and the new value. hz, hc: the state's weights to these; u: its part of the new value, for backpropagation; both: to write over."""
-    zr, c = gates[:2], gates[2]
+def _stepped(h: np.ndarray, zr: np.ndarray, c: np.ndarray, hz: np.ndarray, hc: np.ndarray, both: np.ndarray, u: np.ndarray, after: np.ndarray, product=np.matmul) -> None:
+    """One step from h to after. zr (rows, twice the units), c: what inputs take from both gates and give to the new value; become both gates and the new value. hz, hc: the state's weights to these; u: its part of the new value, for backpropagation; both: to write over."""
+    n = h.shape[1]
     product(h, hz, out=both)
-    np.subtract(zr, both.reshape(len(h), 2, -1).transpose(1, 0, 2), out=zr)
+    zr -= both
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
     product(h, hc, out=u)
-    np.multiply(zr[1], u, out=after)
+    np.multiply(zr[:, n:], u, out=after)
     c += after
     np.tanh(c, out=c)
     np.subtract(c, h, out=after)
-    after *= zr[0]
+    after *= zr[:, :n]
     after += h
 
 
@@ -280,20 +282,17 @@ class Network:
     def _state_weights(self) -> tuple[np.ndarray, np.ndarray]:
         return self.p["h"][:, : 2 * self.hidden].copy(), self.p["h"][:, 2 * self.hidden :].copy()
 
-    def _input_gates(self, x: np.ndarray | None = None) -> np.ndarray:
-        """(3, inputs, hidden): what each input, or each row of x, takes from both gates, and gives to the new value."""
-        x = (self.p["x"] if x is None else x).reshape(-1, 3, self.hidden).transpose(1, 0, 2)
-        out = np.empty(x.shape, x.dtype)
-        np.add(x, self.p["b"].reshape(3, 1, -1), out=out)
-        np.negative(out[:2], out=out[:2])
-        return out
+    def _input_gates(self, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """By input, or by row of x: what it takes from both gates, and gives to the new value."""
+        out = (self.p["x"] if x is None else x) + self.p["b"]
+        return -out[:, : 2 * self.hidden], out[:, 2 * self.hidden :].copy()
 
     def step(self, x: np.ndarray, h: np.ndarray):
         """x: input ids; returns the next state and what backpropagation needs."""
-        gates = self._input_gates()[:, x]
+        zr, c = (y[x] for y in self._input_gates())
         u, after = np.empty_like(h), np.empty_like(h)
-        _stepped(h, gates, *self._state_weights(), np.empty((len(h), 2 * self.hidden), h.dtype), u, after)
-        return after, (x, h, gates, u)
+        _stepped(h, zr, c, *self._state_weights(), np.empty_like(zr), u, after)
+        return after, (x, h, zr, c, u)
 
     def _joint(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights of logits with the biases as one more state, that of classes and that of words within classes."""
@@ -394,24 +393,22 @@ class Network:
             seen = np.flatnonzero(seen)
             place[seen] = np.arange(len(seen))
             source = place[source]
-            gates = np.empty((3, steps, live, n), theta.dtype)
-            for x, y in zip(self._input_gates(inputs.met(seen)), gates, strict=True):
-                np.take(x, source, axis=0, out=y, mode="clip")
+            zr, c = (np.take(x, source, axis=0, mode="clip") for x in self._input_gates(inputs.met(seen)))
             g["x"] = np.zeros((len(seen), 3 * n), theta.dtype)
             hz, hc = self._state_weights()
-            states, u, both, begins = np.empty((steps + 1, live, n), theta.dtype), np.empty(gates.shape[1:], theta.dtype), np.empty((live, 2 * n), theta.dtype), np.flatnonzero(new.any(1)).tolist()
+            states, u, both, begins = np.empty((steps + 1, live, n), theta.dtype), np.empty_like(c), np.empty_like(zr[0]), np.flatnonzero(new.any(1)).tolist()
             states[0] = h[:live]
             for s in range(steps):
                 h = states[s]
                 if s in begins:
                     h = h.copy()
                     h[new[s]] = 0
-                _stepped(h, gates[:, s], hz, hc, both, u[s], states[s + 1])
+                _stepped(h, zr[s], c[s], hz, hc, both, u[s], states[s + 1])
             h = states[steps].copy()
             target = np.where(own >= 0, corpus.target_of[own], -1).ravel()
             _, dh = self._output_grads(states[1:].reshape(-1, n), target, corpus, g)
             states[:-1][new] = 0
-            self._backward((source, states[:-1], gates, u), new, dh.reshape(steps, live, n), g)
+            self._backward((source, states[:-1], zr, c, u), new, dh.reshape(steps, live, n), g)
             t += 1
             lr = rate * (1 - 0.9 * (done + t / n_updates) / epochs)
             share = min(1.0, 5.0 / (math.sqrt(float(slope @ slope) + float(g["x"].ravel() @ g["x"].ravel())) + 1e-9))
@@ -461,8 +458,9 @@ class Network:
 
     def _backward(self, kept: list | tuple, fresh: np.ndarray, dh: np.ndarray, g: dict) -> None:
         """kept: what step() returned, step by step, or for all steps at once; dh: slopes of the states, written over."""
-        source, before, (z, r, c), u = kept if isinstance(kept, tuple) else (np.stack(x, axis=k == 2) for k, x in enumerate(zip(*kept, strict=True)))
+        source, before, zr, c, u = kept if isinstance(kept, tuple) else map(np.stack, zip(*kept, strict=True))
         n, back, begins = self.hidden, self.p["h"].T.copy(), set(np.flatnonzero(fresh.any(1)).tolist())
+        z, r = zr[:, :, :n], zr[:, :, n:]
         # what a unit of the state's slope adds to the slopes of both gates and of the state's part of the new value, and leaves to the step before
         of_new, leaves = c * c, 1 - z
         np.subtract(1, of_new, out=of_new)
@@ -512,8 +510,8 @@ class Network:
         sizes = np.array([sum(lengths[d] for d in x) for x in loads])
         words = [np.concatenate([docs[d] for d in x]) for x in loads]
         whose = [np.repeat(np.array(x, np.int32), [lengths[d] for d in x]) for x in loads]
-        gates, logits, (hz, hc) = self._input_gates(), self._logits(), self._state_weights()
-        h = np.zeros((_padded(lanes), n), gates.dtype)
+        (of_zr, of_c), logits, (hz, hc) = self._input_gates(), self._logits(), self._state_weights()
+        h = np.zeros((_padded(lanes), n), of_c.dtype)
         both, u = np.empty((len(h), 2 * n), h.dtype), np.empty_like(h)
         at = 0
         while at < sizes[0]:
@@ -536,7 +534,7 @@ class Network:
                 if begins:
                     h = h.copy()
                     h[new[s]] = 0
-                _stepped(h, np.take(gates, source[s], axis=1, mode="clip"), hz, hc, both[:wide], u[:wide], states[s], _product)
+                _stepped(h, np.take(of_zr, source[s], axis=0, mode="clip"), np.take(of_c, source[s], axis=0, mode="clip"), hz, hc, both[:wide], u[:wide], states[s], _product)
                 h = states[s]
             np.add.at(out, owner[read], self.log_probs(states[read], block[read], corpus, logits))  # one after another, whatever stands beside
             at += steps
@@ -635,33 +633,50 @@ _ROWS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens"
 
 
 def _scorer(corpus: Corpus, net: Network):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+    """Scores texts of TOGETHER tokens and more at once, whatever batches they come in."""
+    n, known = len(corpus.words), np.append(corpus.counts > 0, False)
+
+    def read(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[pa.Array]]:
+        """The ids of a batch's texts, and its columns but for the score."""
+        ids, tails = [], []
+        for text in texts_of(b):
+            words = words_of(text.lower())
+            x = corpus.ids(words)
+            ids.append(x)
+            words.append(END)
+            tail: dict[bytes, int] = {}
+            for k in np.flatnonzero(x == n).tolist():
+                tail[words[k]] = tail.get(words[k], 0) + 1
+            tails.append(tail)
+        return ids, [
+            b.column(b.schema.names.index("doc_id")),
+            b.column(b.schema.names.index("held_out")),
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([int(known[x].sum()) for x in ids], pa.int64()),
+            pa.array([float(corpus.base[x].sum()) for x in ids], pa.float64()),
+            pa.array([list(t.keys()) for t in tails], pa.list_(pa.binary())),
+            pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())),
+        ]
+
+    def scored(held: list[tuple[list[np.ndarray], list[pa.Array]]]) -> Iterator[pa.RecordBatch]:
+        scores, at = net.score([x for ids, _ in held for x in ids], corpus), 0
+        for ids, columns in held:
+            columns.insert(5, pa.array(scores[at : at + len(ids)], pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+            at += len(ids)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_memory()
-        n, known = len(corpus.words), np.append(corpus.counts > 0, False)
-        for b in slices(batches, 2048):
+        held, size = [], 0
+        for b in slices(batches):
             if b.num_rows:
-                ids, tails = [], []
-                for text in texts_of(b):
-                    words = words_of(text.lower())
-                    x = corpus.ids(words)
-                    ids.append(x)
-                    tails.append(Counter([words[k] for k in np.flatnonzero(x[:-1] == n)]) + Counter([END] if x[-1] == n else []))
-                scores = net.score(ids, corpus)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(b.schema.names.index("doc_id")),
-                        b.column(b.schema.names.index("held_out")),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([int(known[x].sum()) for x in ids], pa.int64()),
-                        pa.array([float(corpus.base[x].sum()) for x in ids], pa.float64()),
-                        pa.array(scores, pa.float64()),
-                        pa.array([list(t.keys()) for t in tails], pa.list_(pa.binary())),
-                        pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())),
-                    ],
-                    schema=_ROWS,
-                )
+                held.append(read(b))
+                size += sum(map(len, held[-1][0]))
+                if size >= TOGETHER:
+                    yield from scored(held)
+                    held, size = [], 0
+        if held:
+            yield from scored(held)
 
     return run
 

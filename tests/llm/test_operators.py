@@ -903,6 +903,27 @@ def test_language_model_lanes_dont_wait_for_the_longest_text(monkeypatch):
     assert net.score([], c).tolist() == []
 
 
+def test_language_model_scores_batches_together(monkeypatch):
+    r, calls = np.random.default_rng(12), []
+    counts = np.sort(r.integers(1, 900, 3000))[::-1].astype(np.int64)
+    c = language_model.Corpus([f"w{k}".encode() for k in range(3000)], counts, int(counts.sum()) + 500, 3200)
+    net = language_model.Network(c)
+    net.p = {k: x + 0.3 * r.standard_normal(x.shape).astype(np.float32) for k, x in net.p.items()}
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 3100, n)) for n in [900, *r.integers(0, 60, 299)]]
+    rows = pa.table({"doc_id": range(300), "held_out": [False] * 300, "text": texts}).to_batches(max_chunksize=40)
+    alone = [net.score([c.ids(words(t))], c)[0] for t in texts]
+    score = net.score
+    monkeypatch.setattr(net, "score", lambda ids, *a: (calls.append(sum(map(len, ids))), score(ids, *a))[1])
+    for together, least in ((language_model.TOGETHER, 1), (3000, 2)):
+        calls.clear()
+        monkeypatch.setattr(language_model, "TOGETHER", together)
+        found = pa.Table.from_batches(language_model._scorer(c, net)(iter(rows)))
+        assert found["doc_id"].to_pylist() == list(range(300)) and found["score"].to_pylist() == alone
+        assert least <= len(calls) < len(rows) and min(calls[:-1], default=3000) >= 3000  # before, a call for each batch
+        for t, names, n in zip(texts, found["tail_words"].to_pylist(), found["tail_counts"].to_pylist(), strict=True):
+            assert dict(zip(names, n, strict=True)) == Counter([w for w in [*words(t), b""] if w not in c.rank])
+
+
 @pytest.mark.parametrize("head", [language_model.HEAD, 1])
 def test_language_model_without_ids_or_training_rows(spark, head):
     schema = "doc_id long, text string, word string, c long"
